@@ -192,11 +192,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
 f AS (SELECT win, min(doc_id) AS m FROM p GROUP BY win),
 g AS (SELECT DISTINCT doc_id, i + j AS spot FROM (SELECT p.doc_id, p.i, unnest(range(0, 13)) AS j FROM p JOIN f USING (win) WHERE f.m < p.doc_id)),
 n AS (SELECT doc_id, list(spot) AS gone FROM g GROUP BY doc_id),
-k AS (SELECT w.doc_id, ws, CASE WHEN gone IS NULL THEN ws ELSE list_filter(list_transform(range(1, len(ws) + 1), i -> CASE WHEN list_contains(gone, i) THEN NULL ELSE ws[i] END), x -> x IS NOT NULL) END AS kept FROM w LEFT JOIN n USING (doc_id))
+k AS (SELECT w.doc_id, ws, CASE WHEN gone IS NULL THEN ws ELSE list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE ws[i] END), lambda x: x IS NOT NULL) END AS kept FROM w LEFT JOIN n USING (doc_id))
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
