@@ -9,6 +9,8 @@ frequent key therefore costs one entry per block, never one per occurrence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,8 +21,8 @@ BLOCK_BYTES = 8 << 20
 _CELLS = 4096
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
-    """(doc_id, text, block) frame, number of blocks, total bytes.
+def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_block_of: bool = False) -> tuple:
+    """(doc_id, text, block) frame, number of blocks, total bytes; on demand a function from an id column to the block column.
 
     Block numbers grow with doc_id (null ids first, in block 0), so a smaller
     block holds smaller ids.  The histogram that cuts the blocks has a fixed
@@ -32,7 +34,8 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame,
     cells = _CELLS
     while True:
         width = (hi - lo) // cells + 1
-        cell = F.coalesce(F.expr(f"cast((cast(doc_id as decimal(20,0)) - {lo}) / {width} as int)") if hi - lo > 2**62 else F.expr(f"cast((doc_id - {lo}L) div {width}L as int)"), F.lit(0))
+        where = f"cast((cast({{0}} as decimal(20,0)) - ({lo})) / {width} as int)" if hi - lo > 2**62 else f"cast(({{0}} - ({lo}L)) div {width}L as int)"
+        cell = F.coalesce(F.expr(where.format("doc_id")), F.lit(0))
         sizes = np.zeros(cells + 1, np.int64)
         for i, n in src.groupBy(cell.alias("c")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("n")).collect():
             sizes[i] = n
@@ -43,7 +46,8 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame,
     number = (cut // block_bytes).astype(np.int64)
     number = np.unique(number, return_inverse=True)[1]
     out = src.withColumn("block", F.element_at(_int_array(number), cell + 1))
-    return out, int(number.max(initial=0)) + 1, int(sizes.sum())
+    result = (out, int(number.max(initial=0)) + 1, int(sizes.sum()))
+    return (*result, lambda c: F.element_at(_int_array(number), F.expr(where.format(c)) + 1)) if with_block_of else result
 
 
 def _int_array(values: np.ndarray) -> Column:
@@ -65,6 +69,14 @@ def id_column(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 
 
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``most`` bytes, whole rows each."""
+    per_row = max(1, batch.nbytes // max(1, batch.num_rows))
+    step = max(1, most // per_row)
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Sorted uint64 keys as differences of as many bytes as the largest needs."""
     if not len(keys):

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text as tx
+from graphloom.llm._blocks import slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -129,14 +130,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: f
     return reduce(DataFrame.unionAll, found)
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``most`` bytes, whole rows each."""
-    per_row = max(1, batch.nbytes // max(1, batch.num_rows))
-    step = max(1, most // per_row)
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
-
-
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
