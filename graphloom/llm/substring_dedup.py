@@ -28,6 +28,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text as tx
-from graphloom.llm._blocks import bits, blocked, covered, id_column, in_order, pack, unbits, unpack
+from graphloom.llm._blocks import NULL_ID, bits, blocked, covered, id_column, in_order, pack, slices, unbits, unpack
 
 WINDOW = 13
 GROUP_KEYS = 3_000_000
@@ -77,7 +78,7 @@ class _Windows:
 
     def __init__(self, table: pa.Table, k: int, group: np.ndarray | None = None, share: np.ndarray | None = None):
         self.buf, offsets = tx.flat(table.column("text"))
-        self.ids = table.column("doc_id").to_numpy()
+        self.ids = table.column("doc_id").fill_null(NULL_ID).to_numpy()
         starts, ends, self.first = tx.word_bounds(self.buf, offsets)
         self.offsets = offsets
         words = tx.word_hashes(self.buf, starts, ends)
@@ -104,9 +105,13 @@ class _Windows:
 
 
 def _count(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        cells, n = np.unique(_Windows(in_order(table), k).prefix, return_counts=True)
-        return pa.table({"prefix": pa.array(cells, pa.int64()), "n": pa.array(n, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_CLASSES**DEPTH, np.int64)
+        for b in batches:
+            for piece in slices(b):
+                counts += np.bincount(_Windows(pa.Table.from_batches([piece]), k).prefix, minlength=len(counts))
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], ["prefix", "n"])
 
     return run
 
@@ -177,7 +182,7 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, group_keys: int = GROUP_K
         raise ValueError(f"windows of {DEPTH} words or more")
     parts, _, _ = blocked(docs, *([block_bytes] if block_bytes else []))
     counts = np.zeros(_CLASSES**DEPTH, np.int64)
-    for prefix, n in parts.groupBy("block").applyInArrow(_count(k), "prefix long, n long").groupBy("prefix").agg(F.sum("n")).collect():
+    for prefix, n in parts.select("doc_id", "text").mapInArrow(_count(k), "prefix long, n long").groupBy("prefix").agg(F.sum("n")).collect():
         counts[prefix] = n
     group, _ = prefix_groups(counts, group_keys)
     share = np.maximum(1, -(-counts // group_keys))
