@@ -21,14 +21,14 @@ BLOCK_BYTES = 8 << 20
 _CELLS = 4096
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_block_of: bool = False) -> tuple:
-    """(doc_id, text, block) frame, number of blocks, total bytes; on demand a function from an id column to the block column.
+def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_block_of: bool = False, rest: Column | None = None) -> tuple:
+    """(doc_id, text, block, and rest if given) frame, number of blocks, total bytes; on demand a function from an id column to the block column.
 
     Block numbers grow with doc_id (null ids first, in block 0), so a smaller
     block holds smaller ids.  The histogram that cuts the blocks has a fixed
     number of cells; it is all that reaches the driver.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest.alias("rest")] if rest is not None else []))
     lo, hi = src.agg(F.min("doc_id"), F.max("doc_id")).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
     cells = _CELLS

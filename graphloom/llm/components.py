@@ -5,15 +5,20 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one of our own only where none is named."""
+    return spark.conf.get("spark.checkpoint.dir", None) or (Path(tempfile.gettempdir()) / "graphloom-checkpoints").as_uri()
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder that the session names (its own only where none is named)."""
+    """df, computed once and kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or (Path(tempfile.gettempdir()) / "graphloom-checkpoints").as_uri())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -26,6 +26,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,17 +108,22 @@ class Index:
                 yield row, item, shared
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles, containment of each leak of items (item_id, text) into docs (doc_id, text)."""
+def _indexes(spark: SparkSession, items: DataFrame, k: int, threshold: float, item_bytes: int) -> Iterator[Broadcast]:
+    """Sketches of all items, in blocks of about item_bytes each."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n_blocks = max(1, -(-total // item_bytes))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
-    found = []
     for block in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in mine.collect()], k, threshold))  # about item_bytes at most
+        yield spark.sparkContext.broadcast(Index([tuple(r) for r in mine.collect()], k, threshold))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles, containment of each leak of items (item_id, text) into docs (doc_id, text)."""
+    schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = []
+    for index in _indexes(docs.sparkSession, items, k, threshold, item_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x = index.value
@@ -126,10 +132,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: f
                     rows = [(piece.column(0)[r].as_py(), x.items[i][0], n, len(x.items[i][1]), n / len(x.items[i][1])) for r, i, n in x.search(piece.column(1))]
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate([pa.int64()] * 4 + [pa.float64()])], ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
 
-        found.append(docs.mapInArrow(run, schema))
+        found.append(cols.mapInArrow(run, schema))
     return reduce(DataFrame.unionAll, found)
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of docs (text and whatever else) into which no item leaks."""
+    for index in _indexes(docs.sparkSession, items, k, threshold, item_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for piece in slices(b):
+                    keep = np.ones(piece.num_rows, bool)
+                    keep[[r for r, _, _ in index.value.search(piece.column(piece.schema.names.index("text")))]] = False
+                    yield piece.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

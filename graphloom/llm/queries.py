@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, jaccard_join, language_id, mixing, quality_classifier, substring_dedup, suffix_dedup, token_counts
+from graphloom.llm import ann_search, decontamination, html_extraction, jaccard_join, language_id, mixing, quality_classifier, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_mixing": mixing.op6_mixing,
+        "op7_ann_search": ann_search.op7_ann_search,
+        "op8_html_extraction": html_extraction.op8_html_extraction,
         "op9_quality": quality_classifier.op9_quality,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }

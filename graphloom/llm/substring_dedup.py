@@ -33,8 +33,9 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.llm import _text as tx
 from graphloom.llm._blocks import NULL_ID, bits, blocked, covered, id_column, in_order, pack, slices, unbits, unpack
@@ -170,17 +171,20 @@ def _drop(k: int, group: np.ndarray, share: np.ndarray, with_text: bool):
                 texts.append(kept.decode() if n_removed[-1] else None)
         out = {"doc_id": id_column(w.ids), "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if with_text:
-            out |= {"text": docs.column("text"), "kept": pa.array(texts, pa.string())}
+            out |= {"text": docs.column("text"), "kept": pa.array(texts, pa.string()), "rest": docs.column("rest")}
         return pa.table(out)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, k: int = WINDOW, group_keys: int = GROUP_KEYS, block_bytes: int | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row; with_text: also text, and kept (null if nothing goes)."""
+def dedup_substrings(docs: DataFrame, k: int = WINDOW, group_keys: int = GROUP_KEYS, block_bytes: int | None = None, rest: Column | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row.
+
+    rest: a struct to carry along; then also text, kept (null if nothing goes) and rest.
+    """
     if k < DEPTH:
         raise ValueError(f"windows of {DEPTH} words or more")
-    parts, _, _ = blocked(docs, *([block_bytes] if block_bytes else []))
+    parts, _, _ = blocked(docs, *([block_bytes] if block_bytes else []), rest=rest)
     counts = np.zeros(_CLASSES**DEPTH, np.int64)
     for prefix, n in parts.select("doc_id", "text").mapInArrow(_count(k), "prefix long, n long").groupBy("prefix").agg(F.sum("n")).collect():
         counts[prefix] = n
@@ -188,8 +192,23 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, group_keys: int = GROUP_K
     share = np.maximum(1, -(-counts // group_keys))
     sent = parts.groupBy("block").applyInArrow(_send(k, group, share), "grp long, block int, high binary, low binary")
     marks = sent.groupBy("grp").applyInArrow(_subtree, "grp long, block int, marks binary")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string, kept string" * with_text
-    return parts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_drop(k, group, share, with_text), schema)
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
+    if rest is not None:
+        schema = schema.add("text", "string").add("kept", "string").add(parts.schema["rest"])
+    return parts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_drop(k, group, share, rest is not None), schema)
+
+
+def without_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
+    """docs (doc_id, text and whatever else) with repeated words dropped from text; n_chars, if there, follows.
+
+    Texts that lose nothing stay as they are; documents that lose all their words go.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    out = dedup_substrings(docs, k, rest=F.struct(*[F.col(f"`{c}`") for c in others])).where("n_removed = 0 or n_removed < n_words")
+    values = {c: F.col("rest").getField(c) for c in others} | {"text": F.coalesce("kept", "text")}
+    if "n_chars" in others:
+        values["n_chars"] = F.when(F.col("kept").isNull(), values["n_chars"]).otherwise(F.length("kept"))
+    return out.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in docs.schema])
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
