@@ -467,6 +467,8 @@ class Planner:
             alias = {renamed[n]: b for n, b in shown.items()} | ({v: b for v, b in state.scope.items()} if keep else {})
             swap = {n: s.Var(renamed[n]) for n in shown}
             by = []
+            # a name given to a value here still means the node where a property of it is asked for
+            swap |= {x: x for e, _ in order for x in s.walk(e) if keep and isinstance(x, s.Prop) and isinstance(x.of, s.Var) and x.of.name in shown and shown[x.of.name].what == "value" and x.of.name in state.scope and state.scope[x.of.name].what != "value"}
             for e, up in order:
                 e = s.Var(texts[e]) if e in texts else e
                 col = self.value(self.substitute(e, swap), State(df, alias, state.anchors))[0]
