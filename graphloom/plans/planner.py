@@ -222,7 +222,8 @@ class Planner:
     def scan(self, var: str, kinds: list[str], more: tuple[str, ...] = ()) -> DataFrame:
         wanted = self.needs[var] | set(more)
         props = self.graph.node_props(kinds)
-        props = props if "*" in wanted else [p for p in wanted if p not in ("id", "kind", "properties", "*")]
+        own_kind = ["own_kind"] if "own_kind" in props and "kind" in wanted else []
+        props = props if "*" in wanted else [p for p in wanted if p not in ("id", "kind", "properties", "*")] + own_kind
         df = self.graph.scan(kinds, props)
         return df.select(*[F.col(k).alias(f"{var}__{k}") for k in ("nid", "id", "kind")], *[F.col(p).alias(f"{var}__p_{p}") for p in props])
 
@@ -635,8 +636,9 @@ class Planner:
             types = dict(state.df.dtypes)
             own = f"{v}__p_{e.name}"
             if own in types:
-                col, t = F.col(own), state.df.schema[own].dataType
-                return (F.coalesce(col.cast("string"), F.col(f"{v}__kind")), T.StringType()) if e.name == "kind" else (col, t)
+                return F.col(own), state.df.schema[own].dataType
+            if e.name == "kind" and f"{v}__p_own_kind" in types:
+                return F.coalesce(F.col(f"{v}__p_own_kind").cast("string"), F.col(f"{v}__kind")), T.StringType()
             if b.what == "rel":
                 names = {"from": f"{v}__src", "to": f"{v}__dst", "kind": f"{v}__kind", "type": f"{v}__kind", "id": None}
                 if e.name == "id":

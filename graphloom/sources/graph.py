@@ -78,7 +78,7 @@ class Graph:
         return [f.select(*f.columns[:0], *[c for c in f.columns if c in ("nid", "id", "src", "dst", "kind")], *[(F.col(p).cast(types[p]) if p in f.columns else F.lit(None).cast(types[p])).alias(p) for p in props]) for f in frames]
 
     def node_props(self, kinds: list[str]) -> list[str]:
-        return list(dict.fromkeys(c for k in kinds for c in self.nodes[k].columns if c not in ("nid", "id", "kind")))
+        return list(dict.fromkeys("own_kind" if c == "kind" else c for k in kinds for c in self.nodes[k].columns if c not in ("nid", "id")))
 
     def rel_props(self, kinds: list[str]) -> list[str]:
         return list(dict.fromkeys(c for k in kinds for c in self.edges[k].frame.columns if c not in ("src", "dst", "kind")))
@@ -90,7 +90,8 @@ class Graph:
             kinds, none = list(self.nodes)[:1], True
         else:
             none = False
-        frames = [self.nodes[k].withColumn("kind", F.lit(k)) for k in kinds]
+        # a property named kind stands beside the label
+        frames = [self.nodes[k].withColumnRenamed("kind", "own_kind").withColumn("kind", F.lit(k)) for k in kinds]
         out = reduce(DataFrame.unionByName, self._union(frames, props))
         return out.where(F.lit(False)) if none else out
 
