@@ -98,6 +98,14 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    if not len(values):
+        return []
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return [(int(values[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 

@@ -156,7 +156,7 @@ class Page:
             kids[self.parent[i]] += 1
         total, out, seen = max(1, below[0]), [], 0
         for i in range(n):
-            f = ["bias", "tag=" + self.tag[i], f"own={own[i].bit_length() // 2}", f"kids={kids[i].bit_length()}", f"share={4 * below[i] // total}"]
+            f = ["bias", "tag=" + self.tag[i], f"own={min(4, own[i].bit_length() // 2)}", f"kids={min(4, kids[i].bit_length())}", f"share={4 * below[i] // total}"]
             if own[i]:
                 f += [f"links={3 * links[i] // own[i]}", f"stops={stops[i] > 0}", f"tag={self.tag[i]},links={2 * links[i] // own[i]}"]
             if self.parent[i] >= 0:
@@ -252,7 +252,7 @@ _COMMENTS = ['div class="comments"', 'section id="comments"', 'div id="disqus"',
 _FOOT = ["footer", 'div class="footer"', 'div id="footer"', 'footer class="site-footer"', 'div class="copyright"']
 
 
-def labelled_pages(n: int = 160, seed: int = 3) -> list[str]:
+def labelled_pages(n: int = 240, seed: int = 3) -> list[str]:
     """Pages written by rule; data-label marks the blocks whose text is content."""
     r = random.Random(seed)
 
@@ -263,6 +263,8 @@ def labelled_pages(n: int = 160, seed: int = 3) -> list[str]:
         return words(2, 14).capitalize() + r.choice([".", ".", ".", "!", "?", ""])
 
     def prose(a: int = 1, b: int = 6) -> str:
+        if r.random() < 0.05:
+            return words(20, 150)  # nothing but words
         return " ".join(sentence() for _ in range(r.randint(a, b))) + r.choice(["", "", ' <a href="#">' + words(1, 3) + "</a> " + sentence()])
 
     def box(opening: str, inside: str) -> str:
@@ -284,10 +286,10 @@ def labelled_pages(n: int = 160, seed: int = 3) -> list[str]:
     for _ in range(n):
         y = ' data-label="1"'
         title = words(2, 9).capitalize()
-        body = [f"<h1{y}>{title}{r.choice(['', '.'])}</h1>"] if r.random() < 0.9 else []
+        body = [f"<h1{y}>{title}{r.choice(['', '.'])}</h1>"] if r.random() < 0.8 else []
         if body and r.random() < 0.2:
             body = [f"<header>{body[0]}<p{y}>{prose(1, 2)}</p></header>"]
-        for _ in range(r.randint(1, 12)):
+        for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12])):
             kind = r.random()
             if kind < 0.66:
                 body.append(f"<p{y}>{r.choice(['', '', '<b>'])}{prose()}{r.choice(['', '', '<br>'])}{r.choice(['</p>', '</p>', ''])}")
@@ -313,6 +315,9 @@ def labelled_pages(n: int = 160, seed: int = 3) -> list[str]:
         low = r.sample(junk(), r.randint(0, 2)) + ([comments] if r.random() < 0.4 else []) + [box(r.choice(_FOOT), r.choice([f"&copy; {words(1, 2)} &middot; {sentence()}", f"<p>&copy; {words(1, 3)}</p>{links(3)}", sentence()]))]
         if r.random() < 0.3:
             article = f"<div class={r.choice(['container', 'wrapper', 'page', 'row'])}>{article}{r.choice(junk())}</div>"
+        if r.random() < 0.15:  # nothing but an article
+            out.append(article)
+            continue
         out.append(f"<html><head><title>{title}</title></head><body>{''.join(top)}{article}{''.join(low)}</body></html>")
     return out
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text as tx
-from graphloom.llm._blocks import blocked, in_order, pack, unpack
+from graphloom.llm._blocks import blocked, in_order, pack, runs, unpack
 from graphloom.llm.components import components, saved
 from graphloom.llm.decontamination import shingle_hashes
 
@@ -84,9 +84,9 @@ class _Sets:
 
 
 def _grouped(codes: np.ndarray, width: int, groups: int) -> list[tuple[int, int, int]]:
-    where = (codes * np.uint64(groups)) >> np.uint64(width)
-    cuts = np.flatnonzero(np.diff(where.astype(np.int64), prepend=-1))
-    return [(int(where[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(where)], strict=True)]
+    # the top 24 bits or fewer choose the group, so that the product fits
+    short = min(width, 24)
+    return runs(((codes >> np.uint64(width - short)) * np.uint64(groups)) >> np.uint64(short))
 
 
 def _send_codes(k: int, width: int, groups: int):

@@ -44,11 +44,11 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     return nodes.withColumn("level", level).withColumn("budget", F.least(F.col("most"), F.max("level").over(by) * F.col("weight"))).drop("level", "budget_above")
 
 
-def budgets(leaves: DataFrame, weights: dict[str, Column], total: Column, max_epochs: int) -> DataFrame:
+def budgets(leaves: DataFrame, weights: dict[str, str], total: Column, max_epochs: int) -> DataFrame:
     """domain, lang, source, supply, budget (whole tokens) of leaves (domain, lang, source, supply)."""
     x = leaves.where("supply > 0").withColumn("most", F.col("supply").cast("double") * max_epochs)
     for name in LEVELS:
-        x = x.withColumn(f"{name}_weight", weights.get(name, F.lit(1.0)).cast("double")).where(F.col(f"{name}_weight") > 0)
+        x = x.withColumn(f"{name}_weight", F.expr(weights.get(name, "1")).cast("double")).where(F.col(f"{name}_weight") > 0)
     above = x.agg(total.cast("double").alias("budget_above"), F.max("most").alias("_"))
     got = None
     for depth in range(1, len(LEVELS) + 1):
@@ -60,10 +60,10 @@ def budgets(leaves: DataFrame, weights: dict[str, Column], total: Column, max_ep
     return got.select(*LEVELS, "supply", F.floor("budget").cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], *, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: dict[str, str], *, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, n_copies of the chosen documents; the budget is ``share`` of all tokens.
 
-    weights: a column over domain, lang, source for each level (1 where left out).
+    weights: SQL over domain, lang, source for each level (1 where left out).
     """
     label = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), label(domain).alias("domain"), label(F.col("lang")).alias("lang"), label(F.col("source")).alias("source"), count_words(F.col("text")).alias("n_tokens"))
@@ -90,9 +90,10 @@ def domain_of_source(source: Column) -> Column:
     return F.concat(F.lit("d"), (F.try_to_number(F.nullif(F.regexp_extract(source, "[0-9]+$", 0), F.lit("")), F.lit("999999999")) % 4).cast("int").cast("string"))
 
 
+# weights of the query, as SQL over the labels
 WEIGHTS = {
-    "domain": F.when(F.col("domain") == "d0", 4).when(F.col("domain") == "d1", 3).when(F.col("domain") == "d2", 2).otherwise(1),
-    "lang": F.when(F.col("lang") == "en", 4).when(F.col("lang").isin("de", "fr"), 2).otherwise(1),
+    "domain": "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END",
+    "lang": "CASE WHEN lang = 'en' THEN 4 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END",
 }
 
 
@@ -114,8 +115,8 @@ ORACLE_SQL = f"""
 WITH docs AS (SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, coalesce('d' || (nullif(regexp_extract(source, '[0-9]+$'), '')::BIGINT % 4), '(none)') AS domain, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS supply FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0),
 root AS (SELECT floor(sum(supply) * {SHARE}::DOUBLE) AS budget_above FROM leaves),
-{_level_sql("ld", "domain", "", ", root", "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END")}
-{_level_sql("ll", "domain, lang", "domain", "JOIN (SELECT domain, budget AS budget_above FROM ld) USING (domain)", "CASE WHEN lang = 'en' THEN 4 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END")}
+{_level_sql("ld", "domain", "", ", root", WEIGHTS["domain"])}
+{_level_sql("ll", "domain, lang", "domain", "JOIN (SELECT domain, budget AS budget_above FROM ld) USING (domain)", WEIGHTS["lang"])}
 {_level_sql("ls", "domain, lang, source", "domain, lang", "JOIN (SELECT domain, lang, budget AS budget_above FROM ll) USING (domain, lang)", "1")}
 plan AS (SELECT domain, lang, source, floor(budget)::BIGINT // supply::BIGINT AS whole, floor(budget)::BIGINT % supply::BIGINT AS rest FROM ls WHERE floor(budget) > 0),
 dealt AS (SELECT docs.*, whole, rest, md5('{SEED}-' || whole || '-' || doc_id) AS place FROM docs JOIN plan USING (domain, lang, source)),

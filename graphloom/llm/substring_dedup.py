@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graphloom.llm import _text as tx
-from graphloom.llm._blocks import NULL_ID, bits, blocked, covered, id_column, in_order, pack, slices, unbits, unpack
+from graphloom.llm._blocks import NULL_ID, bits, blocked, covered, id_column, in_order, pack, runs, slices, unbits, unpack
 
 WINDOW = 13
 GROUP_KEYS = 3_000_000
@@ -121,8 +121,7 @@ def _send(k: int, group: np.ndarray, share: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         w = _Windows(in_order(table), k, group, share)
-        cuts = np.flatnonzero(np.diff(w.where, prepend=-1))
-        rows = [(int(w.where[a]), block, pack(w.high[a:b]), w.low[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(w.where)], strict=True)]
+        rows = [(g, block, pack(w.high[a:b]), w.low[a:b].tobytes()) for g, a, b in runs(w.where)]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["grp", "block", "high", "low"])
 
     return run
