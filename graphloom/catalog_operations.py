@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import gates, incremental, lineage, merge, search, traverse
+from graphloom.operators import analysis, gates, incremental, lineage, merge, search, traverse
 from graphloom.sources.graph import from_frames
 from graphloom.sources.named import execute
 from graphloom.sources.tables import graph_from_tables, nid
@@ -278,6 +278,97 @@ def remapped(spark, d):
     return merge.remap(e, m)
 
 
+def _parts(spark, d, condition: str) -> DataFrame:
+    return _t(spark, d, "part").where(condition).select(F.col("p_partkey").alias("id"))
+
+
+def _steps(spark, d) -> DataFrame:
+    return _next(spark, d).select(_key("src"), _key("dst")).withColumn("kind", F.lit("CALLS"))
+
+
+def coverage(spark, d):
+    return analysis.test_coverage(_parts(spark, d, "p_partkey <= 3"), _parts(spark, d, "p_partkey <= 60"), _steps(spark, d), 4)
+
+
+def coverage_percent(spark, d):
+    owners = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"))
+    return analysis.coverage_by(coverage(spark, d), owners)
+
+
+def affected(spark, d):
+    return analysis.affected_tests(_parts(spark, d, "p_partkey in (20, 40)"), _parts(spark, d, "p_partkey % 5 = 0"), _steps(spark, d), 3)
+
+
+def entry_sinks(spark, d):
+    hops = analysis.sink_hops(_parts(spark, d, "p_partkey in (30, 31)"), _steps(spark, d), 3)
+    entries = _parts(spark, d, "p_partkey <= 40").select(F.concat(F.lit("e"), (F.col("id") % 10).cast("string")).alias("src"), F.col("id").alias("dst"))
+    return analysis.entry_point_sinks(hops, entries)
+
+
+def owner_edges(spark, d):
+    o = _t(spark, d, "orders")
+    nodes = _t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("path")).union(o.select(F.concat(F.lit("o"), "o_orderkey"), F.concat_ws("/", F.lit("ord"), "o_orderpriority")))
+    owners = nodes.select(F.element_at(F.split("path", "/"), 1).alias("prefix")).distinct().withColumn("owner", F.upper("prefix")).unionByName(spark.createDataFrame([("BUILDING/1", "B1")], "prefix string, owner string"))
+    edges = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"), F.lit("PLACED").alias("kind"))
+    return analysis.project_edges(edges, nodes, owners)
+
+
+def library_lift(spark, d):
+    e = _ring(spark, d)
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    uses = nodes.where("id % 6 = 0").select(F.col("id").alias("src"), (F.col("id") % 4 + 1000).alias("dst"), F.lit("USES_DB").alias("kind"))
+    return analysis.lift_through_libraries(nodes.where("id % 10 = 1"), nodes.where("id % 10 <> 1"), e, uses, 4)
+
+
+def categories(spark, d):
+    g = graph_from_tables(spark, d)
+    kinds = g.links(list(g.edges), []).select("kind").distinct()
+    return kinds.select("kind", analysis.edge_category(F.col("kind"), F.lit("Part")).alias("category"))
+
+
+def deduped_paths(spark, d):
+    n = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("path"), "p_size")
+    return analysis.best_of_path(n, F.col("p_size")).select("id", "path")
+
+
+def shared(spark, d):
+    return analysis.shared_resources(_t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
+def call_flow(spark, d):
+    return analysis.call_flow(_parts(spark, d, "p_partkey <= 3"), _steps(spark, d), 4)
+
+
+def trace(spark, d):
+    return analysis.flow_trace(_parts(spark, d, "p_partkey in (1, 2)"), _steps(spark, d), 3)
+
+
+def impacted(spark, d):
+    return analysis.impact(_steps(spark, d), 50, _steps(spark, d).limit(0))
+
+
+def resolved(spark, d):
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 3).cast("string").alias("name"), F.concat_ws(".", F.lit("a"), (F.col("s_suppkey") % 5).cast("string")).alias("scope"))
+    r = _t(spark, d, "customer").select(F.col("c_custkey").alias("ref"), (F.col("c_custkey") % 4).cast("string").alias("name"), F.concat_ws(".", F.lit("a"), (F.col("c_custkey") % 5).cast("string"), F.lit("x")).alias("scope"))
+    return analysis.resolve_references(r, s)
+
+
+def interfaces(spark, d):
+    e = _ring(spark, d).where("src < dst")
+    return analysis.implements_closure(e, e.select("src", (F.col("src") % 5 + 500).alias("dst")).where("src % 3 = 0"), 8)
+
+
+def lineage_roles(spark, d):
+    x = _t(spark, d, "lineitem")
+    return analysis.table_lineage({"READER": x.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("id")), "WRITER": x.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("id"))})
+
+
+def domains(spark, d):
+    nodes = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("path"))
+    intents = _t(spark, d, "part").where("p_size > 25").select(F.col("p_brand").alias("file_path"), F.col("p_type").alias("domain"))
+    return analysis.with_domains(nodes, intents)[1]
+
+
 _OWNERS = "pg AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), o AS (SELECT DISTINCT unnest([string_split(path, '/')[1], array_to_string(string_split(path, '/')[1:2], '/')]) AS prefix FROM pg)"
 _NEXT = "(SELECT p_partkey AS a, (p_partkey - 1 + k) % n + 1 AS b FROM part, (VALUES (1), (7)) t(k), (SELECT count(*) AS n FROM part) c)"
 
@@ -320,4 +411,20 @@ OPERATIONS = {
     "T03_semantic_diff": (symbol_changes, _SYMBOLS),
     "N04_diff_hunks": (hunks, "SELECT * FROM (VALUES (1, 'x.py', 3, 6), (1, 'x.py', 20, 20), (1, 'y.py', 1, 2)) t(diff_id, file, start, \"end\")"),
     "N03_touched_symbols": (touched, "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'x.py' ELSE 'y.py' END AS file FROM part WHERE (p_partkey % 2 = 0 AND ((p_partkey <= 6 AND p_partkey + 2 >= 3) OR (p_partkey <= 20 AND p_partkey + 2 >= 20))) OR (p_partkey % 2 = 1 AND p_partkey <= 2)"),
+    "N02_test_coverage": (coverage, "WITH RECURSIVE r AS (SELECT p_partkey AS s, p_partkey AS e, 0 AS d FROM part WHERE p_partkey <= 3 UNION SELECT s, b, d + 1 FROM r JOIN " + _NEXT + " x ON a = e WHERE d < 4), m AS (SELECT e, min(d) AS d, count(DISTINCT s) AS n FROM r WHERE d > 0 GROUP BY 1) SELECT p_partkey AS id, d IS NOT NULL AS covered, d AS depth, coalesce(n, 0) AS n_tests FROM part LEFT JOIN m ON e = p_partkey WHERE p_partkey <= 60"),
+    "N02_coverage_percent": (coverage_percent, "WITH RECURSIVE r AS (SELECT p_partkey AS e, 0 AS d FROM part WHERE p_partkey <= 3 UNION SELECT b, d + 1 FROM r JOIN " + _NEXT + " x ON a = e WHERE d < 4) SELECT p_brand AS owner, count(*) AS n, count(*) FILTER (p_partkey IN (SELECT e FROM r WHERE d > 0)) AS n_covered, round(count(*) FILTER (p_partkey IN (SELECT e FROM r WHERE d > 0)) * 100.0::DOUBLE / count(*), 1) AS percent FROM part WHERE p_partkey <= 60 GROUP BY 1"),
+    "N03_affected_tests": (affected, "WITH RECURSIVE r AS (SELECT p_partkey AS e, 0 AS d FROM part WHERE p_partkey IN (20, 40) UNION SELECT a, d + 1 FROM r JOIN " + _NEXT + " x ON b = e WHERE d < 3) SELECT e AS test, min(d) AS depth FROM r WHERE e % 5 = 0 GROUP BY 1"),
+    "N07_entry_point_sinks": (entry_sinks, "WITH RECURSIVE r AS (SELECT p_partkey AS s, p_partkey AS e, 0 AS d FROM part WHERE p_partkey IN (30, 31) UNION SELECT s, a, d + 1 FROM r JOIN " + _NEXT + " x ON b = e WHERE d < 3) SELECT 'e' || e % 10 AS entry, s AS sink, min(d) + 1 AS hops FROM r WHERE d > 0 AND e <= 40 GROUP BY 1, 2"),
+    "N10_project_edges": (owner_edges, "SELECT CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey = 1 THEN 'B1' ELSE upper(c_mktsegment) END AS src, 'ORD' AS dst, 'PLACED' AS kind, count(*) AS weight FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
+    "N11_library_lift": (library_lift, f"WITH RECURSIVE e AS (SELECT * FROM {_RING}), n AS (SELECT a AS x FROM e UNION SELECT b FROM e), u AS (SELECT x, x % 4 + 1000 AS y FROM n WHERE x % 6 = 0), r AS (SELECT x AS s, x AS t, 0 AS d FROM n WHERE x % 10 = 1 UNION SELECT s, b, d + 1 FROM r JOIN e ON a = t WHERE d < 4 AND b % 10 <> 1) SELECT s AS service, y AS resource, 'USES_DB' AS kind, min(d) AS hops FROM r JOIN u ON t = x WHERE d > 0 AND (s, y) NOT IN (SELECT x, y FROM u) GROUP BY 1, 2"),
+    "N12_edge_categories": (categories, "SELECT unnest(['IN_REGION', 'IN_NATION', 'PLACED', 'CONTAINS', 'SUPPLIED_BY', 'NEXT']) AS kind, 'structure' AS category"),
+    "N14_dedupe_by_path": (deduped_paths, "SELECT p_partkey AS id, p_type AS path FROM part QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) = 1"),
+    "N26_call_flow": (call_flow, None),
+    "N27_shared_resources": (shared, "SELECT l_suppkey AS resource, count(DISTINCT l_partkey) AS n_users FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 1"),
+    "N32_flow_trace": (trace, "WITH RECURSIVE r AS (SELECT p_partkey AS s, p_partkey AS e, 0 AS d FROM part WHERE p_partkey IN (1, 2) UNION SELECT s, b, d + 1 FROM r JOIN " + _NEXT + " x ON a = e WHERE d < 2), m AS (SELECT s, e, min(d) AS d FROM r GROUP BY 1, 2) SELECT s AS start, d + 1 AS hop, a AS src, b AS dst, 'CALLS' AS kind FROM m JOIN " + _NEXT + " x ON a = e"),
+    "N38_impact": (impacted, "WITH f AS (SELECT DISTINCT a FROM " + _NEXT + " WHERE b = 50) SELECT a AS caller, 1 AS hop FROM f UNION ALL SELECT DISTINCT a, 2 FROM " + _NEXT + " x WHERE b IN (SELECT a FROM f) AND a NOT IN (SELECT a FROM f)"),
+    "N43_resolve_references": (resolved, "SELECT c_custkey AS ref, arg_min(s_suppkey, (CASE WHEN c_custkey % 5 = s_suppkey % 5 THEN 0 ELSE 1 END) * 1000000 + s_suppkey) AS id FROM customer JOIN supplier ON c_custkey % 4 = s_suppkey % 3 GROUP BY 1"),
+    "N44_implements_closure": (interfaces, f"WITH RECURSIVE e AS (SELECT * FROM {_RING} WHERE a < b), i AS (SELECT a, a % 5 + 500 AS k FROM e WHERE a % 3 = 0), r AS (SELECT a AS s, b AS t, 1 AS d FROM e UNION SELECT s, b, d + 1 FROM r JOIN e ON a = t WHERE d < 8) SELECT s AS type, k AS interface FROM r JOIN i ON t = i.a UNION SELECT a, k FROM i"),
+    "N39_lineage_roles": (lineage_roles, "SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN 'READER' ELSE 'WRITER' END AS role, l_suppkey AS id FROM lineitem WHERE l_returnflag IN ('R', 'A')"),
+    "N46_domains": (domains, "SELECT p_partkey::VARCHAR AS src, 'domain:' || lower(d) AS dst, 'BELONGS_TO_DOMAIN' AS kind FROM part JOIN (SELECT p_brand AS b, min(p_type) AS d FROM part WHERE p_size > 25 GROUP BY 1) ON b = p_brand"),
 }
