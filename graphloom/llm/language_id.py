@@ -6,8 +6,8 @@ Features are counts of hashed byte bigrams and trigrams of the whole lower-cased
 text, as square roots of their shares (so every vector has length 1).
 
 Learning uses a bounded sample: about ``per_language`` documents of each
-language (the documented bound), picked by a hash.  Rows with null text or lang
-are not learned from.  A text that is null or has no letter is ``und`` with score
+language (the documented bound), picked by a hash of
+doc_id.  Rows with null doc_id, text or lang are not learned from.  A text that is null or has no letter is ``und`` with score
 1; with nothing learned every text is ``und`` with score 0.  Repeated rows are
 predicted each; extra columns are ignored.
 """
@@ -120,14 +120,14 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Learned from about per_language rows of each lang of docs (text, lang)."""
-    rows = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
+    """Learned from about per_language rows of each lang of docs (doc_id, text, lang)."""
+    rows = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = {k: n for k, n in rows.groupBy("lang").count().collect() if n}
     scale = 1 << 24
     keep = F.lit(False)
     for k, n in counts.items():
-        keep = keep | ((F.col("lang") == k) & (F.pmod(F.xxhash64("text"), F.lit(scale)) < int(scale * min(1.0, per_language / n))))
-    got = rows.where(keep).toPandas().sort_values(["lang", "text"]) if counts else rows.limit(0).toPandas()
+        keep = keep | ((F.col("lang") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, per_language / n))))
+    got = rows.where(keep).select("text", "lang").limit(2 * per_language * len(counts)).toPandas().sort_values(["lang", "text"]) if counts else rows.limit(0).toPandas()
     x = np.stack([features(np.frombuffer(t.encode(), np.uint8)) for t in got["text"]]) if len(got) else np.zeros((0, DIM), np.float32)
     return Model(x, got["lang"].to_numpy(str))
 

@@ -149,9 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     total = rows.count()
     scale = 1 << 20
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, sample / max(1, total))))
-    # at most about ``sample`` rows of two numbers: bounded, so it can be broadcast
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "quality", "text"])
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, sample / max(1, total)))).limit(2 * sample)
+    # at most twice ``sample`` rows of two numbers: bounded, so it can be broadcast
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").limit(4 * sample).toPandas().sort_values(["doc_id", "quality", "text"])
     return Network().train([(t or "").encode() for t in got["text"]], got["quality"].to_numpy(np.int64))
 
 
