@@ -8,7 +8,8 @@ rotated vectors are scanned in blocks of columns: after d of D columns the
 partial distance times D/d estimates the whole distance, and a hypothesis test
 (reject at ``1 + epsilon / sqrt(d)`` times the bound) abandons candidates early.
 The bound is the k-th least distance met so far, which starts from a bounded
-sample of candidates.  Survivors are scored exactly: inner products of the
+sample of candidates.  The nearest eighth of a query's lists is scanned first; the
+k-th best of it bounds the rest.  Survivors are scored exactly: inner products of the
 original vectors in double precision.
 
 Only the centres and the starting sample come from bounded samples (SAMPLE and
@@ -118,10 +119,13 @@ def _scan(index: Index, k: int, probed: int):
             place: dict[int, list[int]] = {}
             for i in np.flatnonzero(np.isin(ids, index.seed_ids)).tolist():
                 place.setdefault(int(ids[i]), []).append(i)
+            given = queries.column("least").to_pylist()  # the k-th best score so far
             for j, (bound, seeds) in enumerate(zip(*index.start(qid, yq, k, probed), strict=True)):
+                if given[j] is not None:
+                    bound = min(bound, float(q[j] @ q[j]) + index.longest**2 - 2 * given[j])
                 kept = adaptive_scan(yq[j].astype(np.float32), blocks, bound)
-                # the k seeds that set the bound stay: there are never fewer than k found
-                kept = np.union1d(kept, [i for x in seeds.tolist() for i in place.get(x, ())]).astype(np.int64)
+                if given[j] is None:  # the k seeds that set the bound stay: there are never fewer than k found
+                    kept = np.union1d(kept, [i for x in seeds.tolist() for i in place.get(x, ())]).astype(np.int64)
                 kept = kept[ids[kept] != qid[j]]
                 s = np.array([float(np.dot(x[i], q[j])) for i in kept])
                 best = np.lexsort((ids[kept], -s))[:k]
@@ -174,14 +178,24 @@ def search(rows: DataFrame, queries: Column, k: int = K, probe: float = PROBE, s
     parts = F.create_map(*[x for i in range(n_lists) for x in (F.lit(i), F.lit(sizes.get(i, 1)))])
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[F.col("list")]).cast("int"))
     asked = valid.where("asks").dropDuplicates(["vec_id"]).select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, lists array<int>")
-    asked = asked.withColumn("list", F.explode("lists")).withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("list")] - 1))).drop("lists")
 
     def scan(a: pa.Table, b: pa.Table) -> pa.Table:
         return _scan(shared.value, k, probed)(a, b)
 
-    near = asked.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    def near(queries: DataFrame, lo: int, hi: int) -> DataFrame:
+        """The k nearest within each part of the lists lo to hi of every query."""
+        to = queries.withColumn("list", F.explode(F.slice("lists", lo + 1, hi - lo))).withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("list")] - 1))).drop("lists")
+        return to.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = lambda df: df.withColumn("rank", rank).where(F.col("rank") <= k)
+    ahead = max(1, probed // 8)
+    first = best(near(asked.withColumn("least", F.lit(None).cast("double")), 0, ahead))
+    least = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    found = first.drop("rank")
+    if probed > ahead:
+        found = found.unionByName(near(asked.join(least, "vec_id", "left").select("vec_id", "v", "lists", "least"), ahead, probed))
+    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
