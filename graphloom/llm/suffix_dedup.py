@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text as tx
-from graphloom.llm._blocks import bits, blocked, covered, id_column, in_order, pack, unbits, unpack
+from graphloom.llm._blocks import bits, blocked, id_column, in_order, pack, runs, unbits, unpack
 
 LENGTH = 100
 GRAM = 32
 HOT = 4096
 GROUP_KEYS = 3_000_000
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 20 << 20
 _PIECE = 1 << 17
 _OTHER = np.random.Generator(np.random.PCG64(977)).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _TOP = np.uint64(2**64 - 1)
@@ -138,8 +138,7 @@ class _Anchors:
         self.key[order] = np.cumsum(fresh) - 1
         self.hash, self.where = h[fresh], where[fresh]
         self.count = np.diff(np.append(np.flatnonzero(fresh), len(h)))
-        cuts = np.flatnonzero(np.diff(self.where, prepend=-1))
-        self.groups = {int(self.where[a]): (a, b) for a, b in zip(cuts, [*cuts[1:], len(self.where)], strict=True)}
+        self.groups = {g: (a, b) for g, a, b in runs(self.where)}
 
 
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
@@ -212,11 +211,10 @@ def _send_surroundings(length: int, groups: int, parts: int):
         rest = np.flatnonzero(~later & ~hot)
         where = (a.hash[key[rest]] & tx.U64(0xFFFFFF)).astype(np.int64) * parts >> 24
         rest, where = rest[np.argsort(where, kind="stable")], np.sort(where, kind="stable")
-        cuts = np.flatnonzero(np.diff(where, prepend=-1))
-        for x, y in zip(cuts, [*cuts[1:], len(where)], strict=True):
+        for g, x, y in runs(where):
             mine = rest[x:y]
             meta = np.stack([lo[mine], hi[mine] - lo[mine], at[mine] - lo[mine]], 1).astype(np.uint32)
-            rows.append((int(where[x]), block, b"".join([raw[s:e] for s, e in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True)]), meta.tobytes()))
+            rows.append((g, block, b"".join([raw[s:e] for s, e in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True)]), meta.tobytes()))
         return _rows(rows, ["grp", "block", "data", "meta"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
@@ -224,10 +222,9 @@ def _send_surroundings(length: int, groups: int, parts: int):
 
 def _frequent(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, parts: int, block: int, rows: list) -> list[tuple]:
     """Windows of the surroundings of frequent anchors as fingerprints; adds the spans that repeat inside the block to rows."""
-    inside = np.zeros(len(buf) + 1, np.int64)
-    np.add.at(inside, lo, 1)
-    np.add.at(inside, hi - length + 1, -1)
-    starts = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    merged = np.frombuffer(_spans(lo, hi - length + 1), np.uint32).reshape(-1, 2).astype(np.int64)
+    n = merged[:, 1] - merged[:, 0]
+    starts = np.repeat(merged[:, 0], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     high, low = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint16)
     for x in range(0, len(buf) - length + 1, _PIECE):
         i, j = np.searchsorted(starts, [x, x + _PIECE])
@@ -243,8 +240,7 @@ def _frequent(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, part
     rows.append((-1 - block, block, _spans(again, again + length), b""))
     high, low, starts = high[fresh], low[fresh], starts[fresh]
     where = ((high >> tx.U64(40)).astype(np.int64) * parts) >> 24
-    cuts = np.flatnonzero(np.diff(where, prepend=-1))
-    return [(parts + int(where[x]), block, pack(high[x:y]), low[x:y].tobytes() + starts[x:y].astype(np.uint32).tobytes()) for x, y in zip(cuts, [*cuts[1:], len(where)], strict=True)]
+    return [(parts + g, block, pack(high[x:y]), low[x:y].tobytes() + starts[x:y].astype(np.uint32).tobytes()) for g, x, y in runs(where)]
 
 
 def _settle(length: int, parts: int):
@@ -311,19 +307,17 @@ def _factors_settled(blocks: list[int], data: list[bytes], meta: list[bytes], le
 def _drop(docs: pa.Table, spans: pa.Table) -> pa.Table:
     docs = in_order(docs)
     buf, offsets = tx.flat(docs.column("text"))
-    pairs = np.frombuffer(b"".join(x for x in spans.column("spans").to_pylist()), np.uint32).reshape(-1, 2).astype(np.int64)
-    gone = covered(len(buf), pairs[:, 0], pairs[:, 1] - pairs[:, 0])
-    head = gone.copy()
-    head[1:] &= ~gone[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(buf)]
-    head[inner] = gone[inner]
-    sums = [np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, head)]
-    raw = buf.tobytes()
-    digests = []
-    for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        kept = buf[s:e][~gone[s:e]].tobytes() if sums[0][i + 1] > sums[0][i] else raw[s:e]
-        digests.append(hashlib.sha256(kept).hexdigest())
-    out = [id_column(docs.column("doc_id").to_numpy()), np.diff(offsets), np.diff(sums[0]), np.diff(sums[1]), pa.array(digests, pa.string())]
+    gone = np.zeros(len(buf), bool)
+    for x in spans.column("spans").to_pylist():
+        for s, e in np.frombuffer(x, np.uint32).reshape(-1, 2).tolist():
+            gone[s:e] = True
+    n_removed, n_spans, digests = [], [], []
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        mine = gone[s:e]
+        n_removed.append(int(np.count_nonzero(mine)))
+        n_spans.append(int(np.count_nonzero(mine[1:] & ~mine[:-1]) + mine[0]) if n_removed[-1] else 0)
+        digests.append(hashlib.sha256(buf[s:e][~mine] if n_removed[-1] else buf[s:e]).hexdigest())
+    out = [id_column(docs.column("doc_id").to_numpy()), np.diff(offsets), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
     return pa.table(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
