@@ -129,6 +129,7 @@ class _Anchors:
         self.ids = table.column("doc_id").to_numpy()
         self.buf, self.offsets = tx.flat(table.column("text"))
         self.at, h = anchors(self.buf, self.offsets, length)
+        h = tx.mix(h ^ tx.U64(0x5851F42D4C957F2D))  # least hashes are small: spread them evenly over the groups
         where = ((h >> tx.U64(40)).astype(np.int64) * groups) >> 24
         order = np.argsort(h, kind="stable")  # by group, as that is the top of the hash
         h, where = h[order], where[order]
