@@ -44,6 +44,7 @@ GRAM = 32
 HOT = 4096
 GROUP_KEYS = 3_000_000
 GROUP_BYTES = 20 << 20
+BLOCK_BYTES = 2 << 20  # a block's windows are sorted at once where their anchors are frequent
 _PIECE = 1 << 17
 _OTHER = np.random.Generator(np.random.PCG64(977)).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _TOP = np.uint64(2**64 - 1)
@@ -322,11 +323,11 @@ def _drop(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None, group_keys: int = GROUP_KEYS, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, group_keys: int = GROUP_KEYS, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs (doc_id, text)."""
     if length < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes or more")
-    parts, _, total = blocked(docs, *([block_bytes] if block_bytes else []))
+    parts, _, total = blocked(docs, block_bytes)
     groups = max(1, -(-total // (16 * group_keys)))
     fine = max(1, 2 * total // group_bytes)
     sent = parts.groupBy("block").applyInArrow(_send_anchors(length, groups), "grp long, block int, keys binary, n binary")
