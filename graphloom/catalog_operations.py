@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,8 +109,8 @@ def reach_back(spark, d):
     return traverse.reachable(seeds, _next(spark, d), 3, "in").select(_key("start"), _key("node"), "depth")
 
 
-def _ring(spark, d):
-    p = _t(spark, d, "part").where("p_partkey <= 120").select(F.col("p_partkey").cast("long").alias("src"))
+def _ring(spark, d, parts: str = "p_partkey <= 120"):
+    p = _t(spark, d, "part").where(parts).select(F.col("p_partkey").cast("long").alias("src"))
     ahead = p.where("src % 10 <> 0").select("src", (F.col("src") + 1).alias("dst"))
     back = p.where("src % 10 = 6").select("src", (F.col("src") - 3).alias("dst"))
     return ahead.union(back)
@@ -117,16 +119,23 @@ def _ring(spark, d):
 _RING = "(SELECT p_partkey AS a, p_partkey + 1 AS b FROM part WHERE p_partkey <= 120 AND p_partkey % 10 <> 0 UNION ALL SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey <= 120 AND p_partkey % 10 = 6)"
 
 
-def scc(spark, d):
-    return traverse.strong_components(_ring(spark, d))
+def _whole_ring(spark, d):
+    return _ring(spark, d, "true")
+
+
+_WHOLE_RING = _RING.replace("p_partkey <= 120 AND ", "")
 
 
-def components(spark, d):
-    return traverse.components(_ring(spark, d))
+def scc(spark, d, ring=_ring):
+    return traverse.strong_components(ring(spark, d))
 
 
-def tiers(spark, d):
-    e = _ring(spark, d)
+def components(spark, d, ring=_ring):
+    return traverse.components(ring(spark, d))
+
+
+def tiers(spark, d, ring=_ring):
+    e = ring(spark, d)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     return traverse.tiers(nodes, e, nodes.where("node % 20 = 1"))
 
@@ -313,8 +322,8 @@ def owner_edges(spark, d):
     return analysis.project_edges(edges, nodes, owners)
 
 
-def library_lift(spark, d):
-    e = _ring(spark, d)
+def library_lift(spark, d, ring=_ring):
+    e = ring(spark, d)
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     uses = nodes.where("id % 6 = 0").select(F.col("id").alias("src"), (F.col("id") % 4 + 1000).alias("dst"), F.lit("USES_DB").alias("kind"))
     return analysis.lift_through_libraries(nodes.where("id % 10 = 1"), nodes.where("id % 10 <> 1"), e, uses, 4)
@@ -353,8 +362,8 @@ def resolved(spark, d):
     return analysis.resolve_references(r, s)
 
 
-def interfaces(spark, d):
-    e = _ring(spark, d).where("src < dst")
+def interfaces(spark, d, ring=_ring):
+    e = ring(spark, d).where("src < dst")
     return analysis.implements_closure(e, e.select("src", (F.col("src") % 5 + 500).alias("dst")).where("src % 3 = 0"), 8)
 
 
@@ -428,3 +437,7 @@ OPERATIONS = {
     "N39_lineage_roles": (lineage_roles, "SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN 'READER' ELSE 'WRITER' END AS role, l_suppkey AS id FROM lineitem WHERE l_returnflag IN ('R', 'A')"),
     "N46_domains": (domains, "SELECT p_partkey::VARCHAR AS src, 'domain:' || lower(d) AS dst, 'BELONGS_TO_DOMAIN' AS kind FROM part JOIN (SELECT p_brand AS b, min(p_type) AS d FROM part WHERE p_size > 25 GROUP BY 1) ON b = p_brand"),
 }
+
+# the same over the edges of all parts
+_ON_RING = ("N20_strong_components", "N20_components", "N21_tiers", "N11_library_lift", "N44_implements_closure")
+OPERATIONS |= {f"{k}_all": (partial(OPERATIONS[k][0], ring=_whole_ring), OPERATIONS[k][1].replace(_RING, _WHOLE_RING)) for k in _ON_RING}
