@@ -64,9 +64,11 @@ CYPHER: dict[str, tuple] = {
     "J02_incoming": ("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN r.r_name AS r, n.n_name AS n", "SELECT r_name AS r, n_name AS n FROM region JOIN nation ON n_regionkey = r_regionkey"),
     "J03_undirected": ("MATCH (a:Part {p_partkey: 5})-[:NEXT]-(b:Part) RETURN b.p_partkey AS b", f"SELECT b FROM {NEXT} WHERE a = 5 UNION ALL SELECT a FROM {NEXT} WHERE b = 5"),
     "J04_connecting": ("MATCH (a:Part), (b:Part) WHERE a.p_partkey = 3 AND b.p_partkey < 20 MATCH (a)-[:NEXT]->(b) RETURN a.p_partkey AS a, b.p_partkey AS b", f"SELECT a, b FROM {NEXT} WHERE a = 3 AND b < 20"),
+    "J04_connecting_all": ("MATCH (a:Part), (b:Part) MATCH (a)-[:NEXT]->(b) RETURN a.p_partkey AS a, b.p_partkey AS b", f"SELECT a, b FROM {NEXT} WHERE b IN (SELECT p_partkey FROM part)"),
     "J05_anchored_chain": ("MATCH (n:Nation {n_name: 'NATION_3'}) MATCH (r:Region)<-[:IN_REGION]-(n)<-[:IN_NATION]-(c:Customer) RETURN r.r_name AS r, c.c_name AS c", "SELECT r_name AS r, c_name AS c FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'"),
     "J06_type_alternation": ("MATCH (n:Nation)-[r:IN_REGION|IN_NATION]-(x) RETURN n.n_name AS n, type(r) AS t, count(*) AS k", "SELECT n_name AS n, t, count(*) AS k FROM nation JOIN (SELECT n_nationkey AS nk, 'IN_REGION' AS t FROM nation UNION ALL SELECT c_nationkey, 'IN_NATION' FROM customer UNION ALL SELECT s_nationkey, 'IN_NATION' FROM supplier) ON nk = n_nationkey GROUP BY 1, 2"),
     "J06_relationship_map": ("MATCH (a:Part)-[:NEXT {step: 7}]->(b:Part) WHERE a.p_partkey < 10 RETURN a.p_partkey AS a, b.p_partkey AS b", "SELECT p_partkey AS a, (p_partkey - 1 + 7) % n + 1 AS b FROM part, (SELECT count(*) AS n FROM part) WHERE p_partkey < 10"),
+    "J06_relationship_map_all": ("MATCH (a:Part)-[:NEXT {step: 7}]->(b:Part) RETURN a.p_partkey AS a, b.p_partkey AS b", "SELECT p_partkey AS a, (p_partkey - 1 + 7) % n + 1 AS b FROM part, (SELECT count(*) AS n FROM part) WHERE b IN (SELECT p_partkey FROM part)"),
     "J07_any_type": ("MATCH (n:Nation)-->(x) RETURN n.n_name AS n, x.id AS x", "SELECT n_name AS n, 'region:' || n_regionkey AS x FROM nation"),
     "J08_optional": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 100000 RETURN c.c_name AS c, count(o) AS n, sum(o.o_totalprice) AS s", "SELECT c_name AS c, count(o_orderkey) AS n, sum(o_totalprice) AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000 GROUP BY 1"),
     "J09_optional_multi_hop": ("MATCH (r:Region) OPTIONAL MATCH (r)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > 5000 RETURN r.r_name AS r, n.n_name AS n, s.s_name AS s", "SELECT r_name AS r, n_name AS n, s_name AS s FROM region LEFT JOIN (SELECT * FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 5000) ON n_regionkey = r_regionkey"),

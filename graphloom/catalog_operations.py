@@ -295,22 +295,22 @@ def _steps(spark, d) -> DataFrame:
     return _next(spark, d).select(_key("src"), _key("dst")).withColumn("kind", F.lit("CALLS"))
 
 
-def coverage(spark, d):
-    return analysis.test_coverage(_parts(spark, d, "p_partkey <= 3"), _parts(spark, d, "p_partkey <= 60"), _steps(spark, d), 4)
+def coverage(spark, d, targets: str = "p_partkey <= 60"):
+    return analysis.test_coverage(_parts(spark, d, "p_partkey <= 3"), _parts(spark, d, targets), _steps(spark, d), 4)
 
 
-def coverage_percent(spark, d):
+def coverage_percent(spark, d, targets: str = "p_partkey <= 60"):
     owners = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"))
-    return analysis.coverage_by(coverage(spark, d), owners)
+    return analysis.coverage_by(coverage(spark, d, targets), owners)
 
 
 def affected(spark, d):
     return analysis.affected_tests(_parts(spark, d, "p_partkey in (20, 40)"), _parts(spark, d, "p_partkey % 5 = 0"), _steps(spark, d), 3)
 
 
-def entry_sinks(spark, d):
+def entry_sinks(spark, d, parts: str = "p_partkey <= 40"):
     hops = analysis.sink_hops(_parts(spark, d, "p_partkey in (30, 31)"), _steps(spark, d), 3)
-    entries = _parts(spark, d, "p_partkey <= 40").select(F.concat(F.lit("e"), (F.col("id") % 10).cast("string")).alias("src"), F.col("id").alias("dst"))
+    entries = _parts(spark, d, parts).select(F.concat(F.lit("e"), (F.col("id") % 10).cast("string")).alias("src"), F.col("id").alias("dst"))
     return analysis.entry_point_sinks(hops, entries)
 
 
@@ -441,3 +441,6 @@ OPERATIONS = {
 # the same over the edges of all parts
 _ON_RING = ("N20_strong_components", "N20_components", "N21_tiers", "N11_library_lift", "N44_implements_closure")
 OPERATIONS |= {f"{k}_all": (partial(OPERATIONS[k][0], ring=_whole_ring), OPERATIONS[k][1].replace(_RING, _WHOLE_RING)) for k in _ON_RING}
+# the same with all parts as targets and entries
+OPERATIONS |= {f"{k}_all": (partial(OPERATIONS[k][0], targets="true"), OPERATIONS[k][1].replace(" WHERE p_partkey <= 60", "")) for k in ("N02_test_coverage", "N02_coverage_percent")}
+OPERATIONS["N07_entry_point_sinks_all"] = (partial(entry_sinks, parts="true"), OPERATIONS["N07_entry_point_sinks"][1].replace(" AND e <= 40", ""))

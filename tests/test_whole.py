@@ -64,3 +64,33 @@ def test_big_and_hot_components(spark):
     nodes = df.select(F.col("src").alias("node")).union(df.select("dst")).distinct()
     got = {r.node: r.tier for r in traverse.tiers(nodes, df, nodes.where("node = 1399")).collect()}
     assert (got[1399], got[1], got[1940], got[1941], got[2040], got[1000]) == (0, 1, 2, 3, 4, 2)
+
+
+def test_all_parts_are_targets_entries_and_ends(spark):
+    parts = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
+    n = len(parts)
+    after = {i: {(i - 1 + k) % n + 1 for k in (1, 7)} for i in parts}
+    assert set(answers(spark, "J04_connecting_all")) == {(a, b) for a in after for b in after[a] & parts}
+    assert set(answers(spark, "J06_relationship_map_all")) == {(a, (a + 6) % n + 1) for a in after if (a + 6) % n + 1 in parts}
+    near = {}  # sink: least steps from each caller
+    for sink in (30, 31):
+        near[sink], front = {}, {sink}
+        for depth in (1, 2, 3):
+            front = {a for a in after if after[a] & front}
+            for a in front:
+                near[sink].setdefault(a, depth)
+    want = {}
+    for sink, callers in near.items():
+        for a, depth in callers.items():
+            want[f"e{a % 10}", sink] = min(depth + 1, want.get((f"e{a % 10}", sink), 99))
+    assert set(answers(spark, "N07_entry_point_sinks_all")) == {(e, h, s) for (e, s), h in want.items()}
+    reach = {}
+    for t in (0, 1, 2, 3):
+        front = {t}
+        for _ in range(4):
+            front = {b for a in front for b in after.get(a, ())}
+            for b in front:
+                reach.setdefault(b, set()).add(t)
+    assert {(i, k) for _, _, i, k in answers(spark, "N02_test_coverage_all")} == {(i, len(reach.get(i, ()))) for i in after}
+    percent = answers(spark, "N02_coverage_percent_all")
+    assert sum(x[0] for x in percent) == n and sum(x[1] for x in percent) == len(parts & set(reach))
