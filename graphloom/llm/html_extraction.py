@@ -12,8 +12,11 @@ gradient needs just those marginals.
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by two line feeds, nothing else is changed.
 Null and empty html give an empty text; malformed markup is read as it stands
-(unclosed elements end with their parents); repeated rows are extracted each;
-extra columns are ignored.
+(unclosed elements end with their parents).  The text of scripts, styles, titles,
+text areas, templates and frames is dropped up to their end tag, or to the end of
+the page where there is none; a self-closed one is empty within svg or math and
+where no end tag follows.  All other text is left to the tree.  Repeated rows are
+extracted each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 # fixed values: element classes of HTML
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template svg iframe object noscript math video audio canvas".split())
+RAW = frozenset("script style title textarea template iframe".split())  # skipped to the end tag
+FOREIGN = frozenset("svg math".split())
 ENDS_P = BLOCKS - frozenset("body button head html label option optgroup".split())
 # an element of the first kind ends open ones of the second kind, up to one of the third
 IMPLIED = {
@@ -51,6 +55,7 @@ IMPLIED = {
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
 _RAW_END = {x: re.compile(rf"</{x}[\s/>]", re.I) for x in RAW}
 
 
@@ -61,6 +66,7 @@ class Page:
         self.tag, self.attributes, self.parent = ["html"], [""], [-1]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters of it in links
         stack, at, pieces, linked, in_link = [0], 0, [], 0, 0
+        foreign, endless = 0, set()  # open svg and math; tags of RAW without a later end tag
 
         def flush() -> None:
             nonlocal linked
@@ -88,11 +94,15 @@ class Page:
             text_piece(html[at : m.start()])
             at = m.end()
             if not m[2]:
+                if foreign and m[0].startswith("<![CDATA["):
+                    text_piece(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
                 continue
             tag = m[2].lower()
             if m[1]:
                 if tag == "a":
                     in_link = 0
+                if tag in FOREIGN:
+                    foreign = max(0, foreign - 1)
                 if tag in BLOCKS and tag not in ("html", "body"):
                     i = next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == tag), 0)
                     if i:
@@ -100,8 +110,18 @@ class Page:
                     elif tag == "p":
                         flush()
                 continue
+            closed = m[3].endswith("/") and not _UNQUOTED.search(m[3])
+            if tag in FOREIGN:
+                foreign += not closed
+                continue
             if tag in RAW:
-                end = _RAW_END[tag].search(html, at)
+                if closed and foreign:
+                    continue
+                end = None if tag in endless else _RAW_END[tag].search(html, at)
+                if not end:
+                    endless.add(tag)
+                    if closed:
+                        continue
                 at = (html.find(">", end.start()) + 1 or len(html)) if end else len(html)
                 continue
             if tag == "br":
@@ -111,6 +131,7 @@ class Page:
                 in_link = 1
             if tag not in BLOCKS:
                 continue
+            foreign = 0
             in_link = 0 if tag != "label" else in_link
             if tag in ("html", "body") and any(self.tag[n] == tag for n in stack):
                 self.attributes[next(n for n in stack if self.tag[n] == tag)] += m[3]

@@ -179,3 +179,23 @@ def test_registered_queries_and_their_sql(spark, duck):
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     for name in ("op4_decontamination", "op5_jaccard_join", "op6_mixing"):
         assert table(llm.queries()[name](spark, SF)) == sql_rows(duck, llm.oracle_sql()[name])
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<p>Before it.</p><svg class="icon" viewBox="0 0 1 1"/><p>After it.</p>',
+        "<p>Before it.</p><svg/><p>After it.</p><svg><path d=x /></svg>",
+        "<p>Before it.</p><svg><style/><script /><path/></svg><p>After it.</p><script>no</script>",
+        "<p>Before it.</p><svg><title>no</title><style>no</style></svg><p>After it.</p>",
+        '<p>Before it.</p><iframe src="x"/><p>After it.</p>',
+        "<p>Before it.</p><iframe src=x/>no</iframe><p>After it.</p>",
+        "<noscript><p>Before it.</p></noscript><p>After it.</p>",
+        "<p>Before <math><mi>it</mi></math>.</p><p>After it.</p>",
+        "<p>Before <svg><text><![CDATA[it.]]></text></svg></p><video><p>After it.</p></video><canvas/>",
+        "<object data=x><p>Before it.</p></object><audio/><p>After it.</p><template>no</template>",
+    ],
+)
+def test_html_keeps_what_is_beside_and_inside_other_elements(inside):
+    page = f"<html><body><article><h1>A title</h1>{inside}<p>And the end.</p></article></body></html>"
+    assert html_extraction.trained().extract(page) == "A title\n\nBefore it.\n\nAfter it.\n\nAnd the end."
