@@ -3,7 +3,11 @@
 A test item leaks into a document if the document holds at least ``threshold``
 of the item's distinct ``k``-word shingles (words lower-cased A-Z; a text of
 fewer than k words is one shingle, a text without words has none and leaks
-nowhere).  Items are short and documents long, so items are partitioned by the
+nowhere).  With ``short_inside``, as in op4_decontamination and the pipeline, an
+item of m < k words also leaks into longer documents that hold its words in a
+row: documents have their m-word windows too, for each such m that occurs among
+the items.  ORACLE_SQL has no such windows; both agree where no item is shorter
+than k words.  Items are short and documents long, so items are partitioned by the
 size of their shingle sets; all items of a partition keep bottom-m MinHash
 sketches, with m from the partition's upper size bound u such that any set with
 ``threshold`` of an item of u shingles must hold one of its m least hashes:
@@ -39,38 +43,44 @@ ITEM_BYTES = 4 << 20
 _SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
 
-def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of every shingle, with repeats, in document order."""
+def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, k: int, sizes: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of every shingle, with repeats, in document order; also of the windows of ``sizes`` (below k) words."""
     starts, ends, first = tx.word_bounds(buf, offsets)
     words = tx.word_hashes(buf, starts, ends, lower=True)
     h = tx.windows(words, k)
     at = np.flatnonzero(tx.inside(first, len(h), k)) if len(h) else np.zeros(0, np.int64)
-    doc, h = tx.owner(first)[at], h[at]
+    owner = tx.owner(first)
+    doc, h = owner[at], h[at]
     n = np.diff(first)
     for size in range(1, k):
-        few = np.flatnonzero(n == size)
-        if len(few):
+        if size in sizes:
+            begin = np.flatnonzero(tx.inside(first, len(words) - size + 1, size))
+        else:
+            begin = first[:-1][n == size]
+        if len(begin):
             salt = tx.U64(size * 0x9FB21C651E98DF25 % 2**64)
-            one = np.zeros(len(few), tx.U64)
+            one = np.zeros(len(begin), tx.U64)
             for j in range(size):
-                one = one * tx._Q1 + words[first[few] + j]
-            h, doc = np.concatenate([h, tx.mix(one ^ salt)]), np.concatenate([doc, few])
+                one = one * tx._Q1 + words[begin + j]
+            h, doc = np.concatenate([h, tx.mix(one ^ salt)]), np.concatenate([doc, owner[begin]])
     order = np.argsort(doc, kind="stable")
     return h[order], doc[order]
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> set[bytes]:
-    """The words of each shingle of one text, exactly."""
+def shingles(text: str | None, k: int = SHINGLE, sizes: frozenset[int] = frozenset()) -> set[bytes]:
+    """The words of each shingle of one text and of its windows of ``sizes`` words, exactly."""
     words = (text or "").encode().lower().split()  # bytes.lower changes A-Z only; bytes.split cuts at these blanks only
-    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+    out = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+    return out.union(b" ".join(words[i : i + m]) for m in sizes for i in range(len(words) - m + 1))
 
 
 class Index:
     """Sketches of a block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], k: int, threshold: float):
+    def __init__(self, items: list[tuple[int | None, str]], k: int, threshold: float, short_inside: bool = False):
         self.k, self.threshold = k, threshold
         self.items = [(i, s, t) for i, t in items if (s := shingles(t, k))]
+        self.sizes = frozenset(n for _, s, _ in self.items if (n := next(iter(s)).count(b" ") + 1) < k) if short_inside else frozenset()
         texts = [t.encode() for _, _, t in self.items]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         h, doc = shingle_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets, k)
@@ -89,7 +99,7 @@ class Index:
     def search(self, column: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(row, item, shared shingles) of each leak into the texts of a column."""
         buf, offsets = tx.flat(column)
-        h, doc = shingle_hashes(buf, offsets, self.k)
+        h, doc = shingle_hashes(buf, offsets, self.k, self.sizes)
         maybe = np.flatnonzero(self.low[(h & tx.U64(0xFFFF)).astype(np.int64)])
         a, b = np.searchsorted(self.keys, h[maybe]), np.searchsorted(self.keys, h[maybe], "right")
         hit = np.flatnonzero(b > a)
@@ -103,27 +113,27 @@ class Index:
             if np.isin(self.sets[item], h[bounds[row] : bounds[row + 1]]).sum() < need:
                 continue
             if row not in words:
-                words = {row: shingles(column[row].as_py(), self.k)}
+                words = {row: shingles(column[row].as_py(), self.k, self.sizes)}
             if (shared := len(self.items[item][1] & words[row])) >= need:
                 yield row, item, shared
 
 
-def _indexes(spark: SparkSession, items: DataFrame, k: int, threshold: float, item_bytes: int) -> Iterator[Broadcast]:
+def _indexes(spark: SparkSession, items: DataFrame, k: int, threshold: float, item_bytes: int, short_inside: bool) -> Iterator[Broadcast]:
     """Sketches of all items, in blocks of about item_bytes each."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n_blocks = max(1, -(-total // item_bytes))
     for block in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
-        yield spark.sparkContext.broadcast(Index([tuple(r) for r in mine.collect()], k, threshold))
+        yield spark.sparkContext.broadcast(Index([tuple(r) for r in mine.collect()], k, threshold, short_inside))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES, short_inside: bool = False) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment of each leak of items (item_id, text) into docs (doc_id, text)."""
     schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
-    for index in _indexes(docs.sparkSession, items, k, threshold, item_bytes):
+    for index in _indexes(docs.sparkSession, items, k, threshold, item_bytes, short_inside):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             x = index.value
@@ -136,9 +146,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: f
     return reduce(DataFrame.unionAll, found)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES, short_inside: bool = False) -> DataFrame:
     """The rows of docs (text and whatever else) into which no item leaks."""
-    for index in _indexes(docs.sparkSession, items, k, threshold, item_bytes):
+    for index in _indexes(docs.sparkSession, items, k, threshold, item_bytes, short_inside):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -152,7 +162,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_inside=True)
 
 
 ORACLE_SQL = """

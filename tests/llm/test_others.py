@@ -199,3 +199,25 @@ def test_registered_queries_and_their_sql(spark, duck):
 def test_html_keeps_what_is_beside_and_inside_other_elements(inside):
     page = f"<html><body><article><h1>A title</h1>{inside}<p>And the end.</p></article></body></html>"
     assert html_extraction.trained().extract(page) == "A title\n\nBefore it.\n\nAfter it.\n\nAnd the end."
+
+
+def test_short_items_inside_long_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    filler = "w1 w2 w3 w4 w5 w6 w7 w8 w9 "
+    docs = [(1, filler + "Red green blue sky " + filler), (2, "red\ngreen " + filler), (3, filler + "sky"), (4, "red"), (5, "red green"), (6, "green blue"), (7, filler), (8, ""), (9, None), (10, filler + "red"), (11, "green " + filler), (12, "red green blue sky today")]
+    items = [(1, "RED"), (2, "red green"), (3, "green blue sky"), (4, "red  green blue sky"), (5, "w9 red green blue sky w1"), (6, "red blue"), (7, "")]
+    want = set()
+    for d, x in docs:
+        for i, t in items:
+            a, b = (x or "").lower().split(), t.lower().split()
+            shingle = {tuple(b[j : j + min(5, len(b))]) for j in range(max(1, len(b) - 4))} if b else set()
+            shared = sum(any(tuple(a[j : j + len(s)]) == s for j in range(len(a))) for s in shingle)
+            if shingle and shared >= 0.8 * len(shingle):
+                want.add((d, i, shared, len(shingle), shared / len(shingle)))
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = decontamination.op4_decontamination(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == want and {(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 2), (12, 4)} <= {x[:2] for x in want}
+    kept = corpus_pipeline.benchmark_leaks(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {x[0] for x in want} == {3, 6, 7, 8, 9, 11}
