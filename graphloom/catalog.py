@@ -74,6 +74,14 @@ CYPHER: dict[str, tuple] = {
     "J09_optional_multi_hop": ("MATCH (r:Region) OPTIONAL MATCH (r)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > 5000 RETURN r.r_name AS r, n.n_name AS n, s.s_name AS s", "SELECT r_name AS r, n_name AS n, s_name AS s FROM region LEFT JOIN (SELECT * FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 5000) ON n_regionkey = r_regionkey"),
     "J11_anti_join": ("MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->(:Order) RETURN c.c_name AS name", "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "J12_theta_join": ("MATCH (a:Part), (b:Part) WHERE a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND b.p_size = a.p_size RETURN a.p_partkey AS a, b.p_partkey AS b", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"),
+    "J15_count_distinct": ("MATCH (r:Region) RETURN r.r_name AS region, COUNT { MATCH (r)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer) RETURN DISTINCT c.c_mktsegment } AS segments", "SELECT r_name AS region, count(DISTINCT c_mktsegment) AS segments FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name"),
+    "J15_count_limit": ("MATCH (r:Region) RETURN r.r_name AS region, COUNT { MATCH (r)<-[:IN_REGION]-(n:Nation) RETURN n LIMIT 2 } AS two", "SELECT r_name AS region, least(2, count(n_nationkey)) AS two FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name"),
+    "J15_count_union": ("MATCH (r:Region) RETURN r.r_name AS region, COUNT { MATCH (r)<-[:IN_REGION]-(n:Nation) RETURN n.n_name AS x UNION MATCH (r)<-[:IN_REGION]-(n:Nation) RETURN n.n_name AS x } AS names", "SELECT r_name AS region, count(DISTINCT n_name) AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name"),
+    "P23_exists_skip": ("MATCH (n:Nation) WHERE EXISTS { MATCH (n)<-[:IN_NATION]-(s:Supplier) RETURN s SKIP 4 } RETURN n.n_name AS nation", "SELECT n_name AS nation FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 4"),
+    "J17_call_limit": ("MATCH (r:Region) CALL { WITH r MATCH (r)<-[:IN_REGION]-(n:Nation) RETURN n.n_name AS x LIMIT 1 } RETURN r.r_name AS region, x AS nation", "SELECT r_name AS region, min(n_name) AS nation FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name"),
+    "A08_avg_distinct": ("MATCH (p:Part) RETURN p.p_brand AS brand, avg(DISTINCT p.p_size) AS mean, stdev(DISTINCT p.p_size) AS spread, stdevp(DISTINCT p.p_size) AS spread_all", "SELECT p_brand AS brand, avg(DISTINCT p_size) AS mean, stddev(DISTINCT p_size) AS spread, stddev_pop(DISTINCT p_size) AS spread_all FROM part GROUP BY 1"),
+    "F21_end_properties": ("MATCH (c:Customer)-[r:IN_NATION]->(n) RETURN endNode(r).n_name AS nation, count(startNode(r).c_name) AS customers, max(startNode(r).c_acctbal) AS most", "SELECT n_name AS nation, count(c_name) AS customers, max(c_acctbal) AS most FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
+    "G07_variable_relationships": ("MATCH p = (a:Part {p_partkey: 3})-[:NEXT*1..3]->(b:Part) RETURN length(p) AS hops, [x IN relationships(p) | x.type] AS kinds, count(*) AS paths", _WALK.format(start="3", seed="", hi=3) + " SELECT d AS hops, list_transform(range(0, d), lambda i: 'NEXT') AS kinds, count(*) AS paths FROM r WHERE d >= 1 GROUP BY 1, 2"),
     "J15_count_block": ("MATCH (n:Nation) RETURN n.n_name AS n, COUNT { (n)<-[:IN_NATION]-(:Supplier) } AS k", "SELECT n_name AS n, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS k FROM nation"),
     "J16_pattern_comprehension": ("MATCH (n:Nation) WITH n.n_name AS n, [(n)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > 0 | s.s_suppkey] AS ss RETURN n, size(ss) AS k, reduce(t = 0, x IN ss | t + x) AS total", "SELECT n_name AS n, count(s_suppkey) AS k, coalesce(sum(s_suppkey), 0)::BIGINT AS total FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0 GROUP BY 1"),
     "J17_call_block": ("MATCH (r:Region) CALL { WITH r MATCH (r)<-[:IN_REGION]-(n:Nation) RETURN count(n) AS k, max(n.n_nationkey) AS m } RETURN r.r_name AS r, k, m", "SELECT r_name AS r, count(*) AS k, max(n_nationkey) AS m FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),

@@ -200,7 +200,7 @@ def occurrences(spark, d):
 
 
 def suite(spark, d):
-    out = gates.check(graph_from_tables(spark, d).cached(), gates.GATES)
+    out = gates.check(graph_from_tables(spark, d), gates.GATES)
     return spark.createDataFrame([(r["gate"], r["status"], r.get("new")) for r in out], "gate string, status string, new long")
 
 

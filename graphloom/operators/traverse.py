@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.operators.iterate import settled
 
@@ -25,28 +26,31 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     return back if direction == "in" else edges.unionByName(back.where("src <> dst"))
 
 
-def simple_paths(seeds: DataFrame, edges: DataFrame, lo: int, hi: int | None, direction: str = "out", shortest: bool = False, cap: int | None = None) -> DataFrame:
+def simple_paths(seeds: DataFrame, edges: DataFrame, lo: int, hi: int | None, direction: str = "out", shortest: bool = False, cap: int | None = None, via: str | None = None) -> DataFrame:
     """start, end, depth, path (nids) of every walk of lo to hi edges from seeds (start) that enters no node twice.
 
     As the start is not checked at depth 1, a loop is a path of its own.  shortest:
     only the paths of least depth between their ends, with all ties.  hi None: as
-    far as there are paths.  cap: at most so many rows a level.
+    far as there are paths.  cap: at most so many rows a level, the least by path.
+    via: a column of edges, gathered along each path in an array of that name.
     """
-    step = oriented(edges.select("src", "dst"), direction)
+    step = oriented(edges.select("src", "dst", *([via] if via else [])), direction)
     front = seeds.select("start", F.col("start").alias("end"), F.array("start").alias("path"))
+    if via:
+        front = front.withColumn(via, F.array().cast(T.ArrayType(edges.schema[via].dataType)))
     levels = [front.withColumn("depth", F.lit(0))] if lo == 0 else []
     seen = front.select("start", "end") if shortest else None
     depth = 0
     while hi is None or depth < hi:
         depth += 1
-        here = front.join(step, front["end"] == step["src"])
+        here = front.join(step.withColumnRenamed(via, "_via") if via else step, F.col("end") == F.col("src"))
         # the seed itself only bars later steps
         free = F.lit(True) if depth == 1 else ~F.array_contains("path", F.col("dst"))
-        front = here.where(free).select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path"))
+        front = here.where(free).select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path"), *([F.concat(via, F.array("_via")).alias(via)] if via else []))
         if shortest:
             front = front.join(seen, ["start", "end"], "left_anti")
         if cap:
-            front = front.limit(cap)
+            front = front.orderBy("path").limit(cap)
         if hi is None or (depth % SETTLE_EVERY == 0 and depth < hi) or (shortest and depth < hi):
             front = settled(front)
             if front.isEmpty():

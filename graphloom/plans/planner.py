@@ -29,6 +29,7 @@ from graphloom.plans.parser import parse
 from graphloom.sources.graph import Graph
 
 AGGREGATES = {"count", "collect", "sum", "avg", "min", "max", "stdev", "stdevp"}
+_SQL_DISTINCT = {"avg": "avg", "stdev": "stddev", "stdevp": "stddev_pop"}  # those without a function of their own
 _OWN = {"node": ("nid", "id", "kind"), "rel": ("src", "dst", "kind", "src_id", "dst_id")}
 
 
@@ -82,10 +83,11 @@ class Planner:
             elif isinstance(x, s.Call):
                 if x.name in ("count", "id", "elementid", "labels", "type", "exists", "length", "nodes", "relationships", "startnode", "endnode"):
                     quiet |= {id(a) for a in x.args if isinstance(a, s.Var)}
-                if x.name in ("id", "elementid"):
-                    for a in x.args:
-                        if isinstance(a, s.Var):
-                            self.needs[a.name].add("id")
+                for a in x.args:
+                    if isinstance(a, s.Var) and x.name in ("id", "elementid"):
+                        self.needs[a.name].add("id")
+                    elif isinstance(a, s.Var) and x.name in ("relationships", "rels"):
+                        self.needs[a.name].add("#rels")
             elif isinstance(x, s.Item) and isinstance(x.expr, s.Var):
                 links.append((x.expr.name, x.name))
                 last_return = any(isinstance(c, s.Project) and c.final and x in c.items for arm in q.arms for c in arm)
@@ -259,6 +261,12 @@ class Planner:
         df = state.df.withColumn(f"{path}__ids", ids).withColumn(f"{path}__len", length.cast("long"))
         if all(r.hops is None for r in rels):
             df = df.withColumn(f"{path}__rels", F.array(*[self.rel_value(r.var, df) for r in rels]))
+        elif "#rels" in self.needs[path]:
+            steps = []
+            for i, r in enumerate(rels):
+                part = F.col(f"{r.var}__via") if r.hops is not None else F.array(F.struct(F.col(f"{r.var}__kind").alias("type"), F.col(f"{r.var}__src").alias("from"), F.col(f"{r.var}__dst").alias("to")))
+                steps.append(F.reverse(part) if i < start and r.hops is not None else part)
+            df = df.withColumn(f"{path}__rels", F.concat(*steps))
         return replace(state, df=df, scope=state.scope | {path: Bound("path")})
 
     def fresh_node(self, n: s.NodePattern, state: State) -> State:
@@ -335,13 +343,17 @@ class Planner:
             edges = edges.where(F.col(k) == col)
         start, end = self.name("s"), self.name("e")
         seeds = state.df.select(F.col(f"{a.var}__nid").alias("start")).where("start is not null").distinct()
-        paths = traverse.simple_paths(seeds, edges, r.hops[0], r.hops[1], r.direction, shortest=bool(p.shortest), cap=self.cap)
-        names = {"start": start, "end": end, "depth": f"{r.var}__len", "path": f"{r.var}__nids"}
+        with_rels = bool(p.path) and "#rels" in self.needs[p.path]
+        if with_rels:
+            edges = edges.select("src", "dst", F.struct(F.col("kind").alias("type"), F.col("src").alias("from"), F.col("dst").alias("to")).alias("via"))
+        paths = traverse.simple_paths(seeds, edges, r.hops[0], r.hops[1], r.direction, shortest=bool(p.shortest), cap=self.cap, via="via" if with_rels else None)
+        names = {"start": start, "end": end, "depth": f"{r.var}__len", "path": f"{r.var}__nids"} | ({"via": f"{r.var}__via"} if with_rels else {})
         if p.path or "*" in self.needs[r.var]:
             # ids along the path, in order
-            path = paths.select("start", "end", "depth", "path", F.posexplode("path").alias("i", "nid"))
+            own = paths.columns
+            path = paths.select(*own, F.posexplode("path").alias("i", "nid"))
             ids = self.graph.scan(list(self.graph.nodes), []).select("nid", "id")
-            paths = path.join(ids, "nid").groupBy("start", "end", "depth", "path").agg(F.sort_array(F.collect_list(F.struct("i", "id"))).alias("x")).select("start", "end", "depth", "path", F.col("x.id").alias("ids"))
+            paths = path.join(ids, "nid").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("i", "id"))).alias("x")).select(*own, F.col("x.id").alias("ids"))
             names["ids"] = f"{r.var}__ids"
         paths = paths.select(*[F.col(k).alias(v) for k, v in names.items()])
         df = state.df.join(paths, F.col(f"{a.var}__nid") == F.col(start)).drop(start)
@@ -377,19 +389,36 @@ class Planner:
         for arm in query.arms:
             k, inner = self.anchored(state, used)
             keys = keys or k
-            got = self.arm(tuple(c for c in arm if not (isinstance(c, s.Project) and c.final)), replace(inner))
+            got = self.arm(arm if self.rows_matter(query, arm) else tuple(c for c in arm if not (isinstance(c, s.Project) and c.final)), replace(inner))
             for old, new in zip(inner.anchors, [b for _, b in keys], strict=True):
                 got = replace(got, df=got.df.withColumnRenamed(old, new)) if old != new else got
             arms.append(got)
         if len(arms) == 1:
             return keys, replace(arms[0], anchors=tuple(b for _, b in keys))
         names = [b for _, b in keys]
-        return keys, State(reduce(DataFrame.union, [a.df.select(*names) for a in arms]), {}, tuple(names))
+        out = None
+        for i, a in enumerate(arms):
+            # arms are put together by the places of their columns
+            df = a.df.select(*names, *[F.col(f"`{c}`") for c in a.df.columns if c not in names]) if self.rows_matter(query, query.arms[i]) else a.df.select(*names)
+            if out is None:
+                out = df
+            elif len(out.columns) != len(df.columns):
+                raise QueryError("arms of UNION differ in their number of columns")
+            else:
+                out = out.union(df.toDF(*out.columns)) if query.all[i - 1] else out.union(df.toDF(*out.columns)).distinct()
+        return keys, State(out, {}, tuple(names))
+
+    def rows_matter(self, query: s.Query, arm: tuple) -> bool:
+        """Whether what an arm returns decides how many rows it has: DISTINCT, SKIP, LIMIT, aggregates, a UNION that drops repeats."""
+        if not all(query.all):
+            return True
+        last = arm[-1]
+        return isinstance(last, s.Project) and last.final and (last.distinct or last.skip is not None or last.limit is not None or any(self.is_aggregate(x) for i in last.items for x in s.walk(i)))
 
     # subqueries inside expressions become columns
 
     def lifted(self, state: State, exprs: list[s.Expr]) -> tuple[State, list[s.Expr]]:
-        if not any(isinstance(x, (s.PatternExpr, s.PatternList, s.Subquery)) for x in s.walk(tuple(exprs))):
+        if not any(isinstance(x, (s.PatternExpr, s.PatternList, s.Subquery)) or self.is_end(x, state) for x in s.walk(tuple(exprs))):
             return state, exprs
         state = self.one_row(state)
         box = [state]
@@ -397,6 +426,8 @@ class Planner:
         def fix(x):
             if isinstance(x, (s.PatternExpr, s.PatternList, s.Subquery)):
                 return self.as_column(x, box)
+            if self.is_end(x, state):
+                return self.end_property(x, box)
             if isinstance(x, tuple):
                 return tuple(fix(y) for y in x)
             if isinstance(x, s.Expr):
@@ -406,6 +437,27 @@ class Planner:
         out = [fix(e) for e in exprs]
         return box[0], out
 
+    @staticmethod
+    def is_end(x, state: State) -> bool:
+        """A property of startNode(r) or endNode(r)."""
+        if not (isinstance(x, s.Prop) and isinstance(x.of, s.Call) and x.of.name in ("startnode", "endnode") and x.of.args):
+            return False
+        r = x.of.args[0]
+        return isinstance(r, s.Var) and r.name in state.scope and state.scope[r.name].what == "rel"
+
+    def end_property(self, x: s.Prop, box: list[State]) -> s.Expr:
+        state, name, v = box[0], self.name("q"), x.of.args[0].name
+        first = x.of.name == "startnode"
+        ends = {self.graph.edges[k].src_kind if first else self.graph.edges[k].dst_kind for k in state.scope[v].kinds}
+        kinds = [k for k in self.graph.nodes if None in ends or k in ends]
+        own = x.name in self.graph.node_props(kinds)
+        scan = self.graph.scan(kinds, [x.name] if own else [])
+        col = F.col(x.name) if own or x.name in ("id", "kind") else F.lit(None).cast("string")
+        scan = scan.select(F.col("nid").alias(name), col.alias(f"{name}__v"))
+        df = state.df.join(scan, F.col(f"{v}__{'src' if first else 'dst'}") == F.col(name), "left").drop(name)
+        box[0] = replace(state, df=df, scope=state.scope | {name: Bound("value", type=scan.schema[f"{name}__v"].dataType)})
+        return s.Var(name)
+
     def as_column(self, x: s.Expr, box: list[State]) -> s.Expr:
         state, name = box[0], self.name("q")
         if isinstance(x, s.PatternList):
@@ -474,13 +526,14 @@ class Planner:
                 e = s.Var(texts[e]) if e in texts else e
                 col = self.value(self.substitute(e, swap), State(df, alias, state.anchors))[0]
                 by.append(col.asc() if up else col.desc())
-            if state.anchors and (c.skip is not None or c.limit is not None):
-                lo, hi = self.number(c.skip, 0), self.number(c.limit, None)
-                df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*state.anchors).orderBy(*by)))
-                df = df.where((F.col("_rank") > lo) & (F.col("_rank") <= lo + hi if hi is not None else F.lit(True))).drop("_rank")
-            else:
-                df = df.orderBy(*by)
-        if not state.anchors or not order:
+            df = df if state.anchors else df.orderBy(*by)
+        if state.anchors and (c.skip is not None or c.limit is not None):
+            # rows of an outer row count by themselves; without an order by what they hold
+            lo, hi = self.number(c.skip, 0), self.number(c.limit, None)
+            by = by if order else [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType)] or [F.lit(0)]
+            df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*state.anchors).orderBy(*by)))
+            df = df.where((F.col("_rank") > lo) & (F.col("_rank") <= lo + hi if hi is not None else F.lit(True))).drop("_rank")
+        elif not state.anchors:
             if c.skip is not None:
                 df = df.offset(self.number(c.skip, 0))
             if c.limit is not None:
@@ -546,7 +599,12 @@ class Planner:
         aggs = []
         for x in calls:
             name = self.name("g")
-            col, t = self.aggregate_call(x, state)
+            if x.distinct and x.name in _SQL_DISTINCT:
+                own = self.name("d")
+                state = replace(state, df=state.df.withColumn(own, self.value(x.args[0], state)[0]))
+                col, t = F.expr(f"{_SQL_DISTINCT[x.name]}(DISTINCT {own})"), T.DoubleType()
+            else:
+                col, t = self.aggregate_call(x, state)
             aggs.append(col.alias(f"{name}__v"))
             scope[name] = Bound("value", type=t)
             swap[x] = s.Var(name)

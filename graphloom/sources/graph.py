@@ -8,8 +8,9 @@ and their properties.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,11 +103,13 @@ class Graph:
         return reduce(DataFrame.unionByName, self._union(frames, props))
 
     def cached(self) -> Graph:
-        for f in self.nodes.values():
-            f.cache()
-        for e in self.edges.values():
-            e.frame.cache()
-        return self
+        """The graph with its tables kept in memory, for small graphs that many queries share; plans over the same files elsewhere don't see them."""
+        mark = uuid.uuid4().hex
+
+        def kept(df: DataFrame) -> DataFrame:
+            return df.withColumn("_kept", F.lit(mark)).cache().drop("_kept")
+
+        return replace(self, nodes={k: kept(f) for k, f in self.nodes.items()}, edges={k: replace(e, frame=kept(e.frame)) for k, e in self.edges.items()})
 
 
 def from_frames(nodes: DataFrame, edges: DataFrame, node_schema: dict[str, str] | None = None, edge_schema: dict[str, str] | None = None, **registry) -> Graph:
