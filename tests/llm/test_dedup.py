@@ -75,7 +75,7 @@ def brute_bytes(rows, n):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"block_bytes": 4000, "group_bytes": 20000, "group_keys": 300}, {"block_bytes": 4000, "hot": 1}])
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 4000, "group_bytes": 20000, "group_keys": 300}, {"block_bytes": 4000, "often": 1}, {"chunk": 300}, {"block_bytes": 4000, "often": 1, "chunk": 1}])
 def test_suffix_dedup(docs, rows, limits):
     got = sorted(tuple(r) for r in suffix_dedup.dedup_bytes(docs, **limits).collect())
     assert got == brute_bytes([(i, t) for i, t, *_ in rows], 100)
@@ -100,17 +100,48 @@ def test_anchors_depend_on_windows_only():
     assert found[0] & found[1]
 
 
-def test_earlier_factors():
-    r = np.random.default_rng(1)
-    text = r.integers(97, 99, 3000, dtype=np.uint8)
-    for n in (5, 8, 12, 100):
-        starts = np.arange(len(text) - n + 1)
-        seen, want = set(), []
-        for s in starts:
-            w = text[s : s + n].tobytes()
-            want.append(w in seen)
-            seen.add(w)
-        assert suffix_dedup.earlier_factors(text, starts, starts, n).tolist() == want
+def naive_factors(text, starts, positions, n):
+    out = []
+    for s, p in zip(starts, positions, strict=True):
+        best = 0
+        for q, o in zip(starts, positions, strict=True):
+            if o < p:
+                k = 0
+                while k < n and s + k < len(text) and q + k < len(text) and text[s + k] == text[q + k]:
+                    k += 1
+                best = max(best, k)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("n", [16, 20, 33, 100])
+def test_previous_factors(n):
+    r = np.random.default_rng(n)
+    text = r.integers(97, 99, 300, dtype=np.uint8)
+    text[150:270] = text[20:140]
+    starts = np.arange(len(text) - n + 1)
+    for positions in (starts, r.permutation(len(starts)), r.integers(0, 50, len(starts))):
+        assert suffix_dedup.previous_factors(text, starts, positions, n).tolist() == naive_factors(text.tolist(), starts.tolist(), positions.tolist(), n)
+
+
+def test_nearest_smaller():
+    r = np.random.default_rng(3)
+    for v in (r.integers(0, 20, 500), np.arange(300), np.arange(300)[::-1], np.zeros(300, int)):
+        want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(len(v))]
+        assert suffix_dedup.nearest_smaller(v).tolist() == want
+
+
+def test_halves_hold_every_window_once():
+    for reach in (68, 36, 1, 0):
+        ranges, nodes = [], [1]
+        while nodes:
+            node = nodes.pop()
+            lo, hi = suffix_dedup.node_range(node, reach)
+            if lo == hi:
+                ranges.append(lo)
+            else:
+                nodes += [2 * node, 2 * node + 1]
+        assert sorted(ranges) == list(range(-reach, 1))
 
 
 def sets(text):
