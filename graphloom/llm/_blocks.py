@@ -9,7 +9,8 @@ frequent key therefore costs one entry per block, never one per occurrence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,55 +19,107 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
+MOST_BLOCKS = 1 << 18  # from 2 TB on blocks grow instead of their number
 _CELLS = 4096
-
-
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_block_of: bool = False, rest: Column | None = None) -> tuple:
-    """(doc_id, text, block, and rest if given) frame, number of blocks, total bytes; on demand a function from an id column to the block column.
-
-    Block numbers grow with doc_id (null ids first, in block 0), so a smaller
-    block holds smaller ids.  The histogram that cuts the blocks has a fixed
-    number of cells; it is all that reaches the driver.
+_ROUNDS = 6
+
+
+class Blocks(NamedTuple):
+    """rows: doc_id, text, block, and rest if given; total: bytes; n_null: how many blocks, the first ones, hold the rows with null doc_id; block_of: the block column of an id column."""
+
+    rows: DataFrame
+    total: int
+    n_null: int
+    block_of: Callable[[str], Column]
+
+
+class _Cells:
+    """A partition of the ids into numbered cells of neighbouring ids, as columns: each round cuts the cells of the one before into equal widths."""
+
+    def __init__(self, lo: int, hi: int):
+        self.rounds = [([lo], [(hi - lo) // _CELLS + 1], [0])]
+        self.far = hi - lo >= 2**62
+        self.n = _CELLS
+
+    def of(self, c: str) -> Column:
+        cell = None
+        for lo, width, base in self.rounds:
+            if cell is None:
+                away = f"cast({c} as decimal(20,0)) - ({lo[0]})" if self.far else f"{c} - ({lo[0]})"
+                cell = F.expr(f"cast(floor(({away}) / {width[0]}) as int)" if self.far else f"cast(({away}) div {width[0]}L as int)")
+            else:
+                at = lambda x, cell=cell: F.element_at(_long_array(x), cell + 1)
+                cell = (at(base) + F.call_function("div", F.col(c) - at(lo), at(width))).cast("int")
+        return cell
+
+    def refine(self, sizes: dict[int, tuple[int, int, int]], most: int) -> bool:
+        """Cuts the cells (bytes, least and largest id) with more than ``most`` bytes; whether there were any."""
+        lo, width, base, n, cut = [], [], [], 0, False
+        for c in range(self.n):
+            size, a, b = sizes.get(c, (0, 0, 0))
+            pieces = min(_CELLS, -(-4 * size // most)) if size > most and b > a else 1
+            cut |= pieces > 1
+            lo.append(a)
+            width.append((b - a) // pieces + 1)
+            base.append(n)
+            n += pieces
+        if cut:
+            self.rounds.append((lo, width, base))
+            self.n = n
+        return cut
+
+
+def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rest: Column | None = None) -> Blocks:
+    """The documents in blocks of about block_bytes each.
+
+    Block numbers grow with doc_id, so a smaller block holds smaller ids; rows
+    with null doc_id come first, dealt by their text to as many blocks as they
+    need.  Rows of equal doc_id share a block.  Blocks are cut from the bytes of
+    cells of ids; cells that hold too much are cut again between their own least
+    and largest ids, so that far outliers or crowded ids make no large block.
+    The cells' sums, a few for each block, are all that reaches the driver.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest.alias("rest")] if rest is not None else []))
-    lo, hi = src.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    cells = _CELLS
-    while True:
-        width = (hi - lo) // cells + 1
-        where = f"cast((cast({{0}} as decimal(20,0)) - ({lo})) / {width} as int)" if hi - lo > 2**62 else f"cast(({{0}} - ({lo}L)) div {width}L as int)"
-        cell = F.coalesce(F.expr(where.format("doc_id")), F.lit(0))
-        sizes = np.zeros(cells + 1, np.int64)
-        for i, n in src.groupBy(cell.alias("c")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("n")).collect():
-            sizes[i] = n
-        if sizes.max(initial=0) <= 4 * block_bytes or width == 1 or cells >= 1 << 18:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    lo, hi, total, nulls = src.agg(F.min("doc_id"), F.max("doc_id"), F.sum(size), F.sum(F.when(F.col("doc_id").isNull(), size))).first()
+    total, nulls = total or 0, nulls or 0
+    block_bytes = max(block_bytes, total // MOST_BLOCKS)
+    cells = _Cells(*((0, 0) if lo is None else (lo, hi)))
+    for left in range(_ROUNDS, 0, -1):
+        got = src.where("doc_id is not null").groupBy(cells.of("doc_id").alias("c")).agg(F.sum(size).alias("n"), F.min("doc_id"), F.max("doc_id")).collect()
+        sizes = {c: (n, a, b) for c, n, a, b in got}
+        if left == 1 or not cells.refine(sizes, 2 * block_bytes):
             break
-        cells *= 16  # ids are unevenly spread: a finer histogram
-    cut = np.cumsum(sizes) - sizes
-    number = (cut // block_bytes).astype(np.int64)
-    number = np.unique(number, return_inverse=True)[1]
-    out = src.withColumn("block", F.element_at(_int_array(number), cell + 1))
-    result = (out, int(number.max(initial=0)) + 1, int(sizes.sum()))
-    return (*result, lambda c: F.element_at(_int_array(number), F.expr(where.format(c)) + 1)) if with_block_of else result
+    n_bytes = np.zeros(cells.n, np.int64)
+    for c, (n, _, _) in sizes.items():
+        n_bytes[c] = n
+    n_null = -(-nulls // block_bytes)
+    number = np.unique((np.cumsum(n_bytes) - n_bytes) // block_bytes, return_inverse=True)[1] + n_null
+
+    def block_of(c: str) -> Column:
+        return F.element_at(_long_array(number.tolist()), cells.of(c) + 1).cast("int")
 
+    block = block_of("doc_id")
+    if n_null:
+        block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n_null)).cast("int")).otherwise(block)
+    return Blocks(src.withColumn("block", block), total, n_null, block_of)
 
-def _int_array(values: np.ndarray) -> Column:
-    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<int>")
+
+def _long_array(values: list[int]) -> Column:
+    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<long>")
 
 
 NULL_ID = -(2**63)
 
 
 def in_order(table):
-    """Rows of one block by (doc_id, text), null ids first; the same order in every pass."""
-    ids = pc.fill_null(table.column("doc_id"), NULL_ID)
-    table = table.set_column(table.column_names.index("doc_id"), "doc_id", ids)
+    """Rows of one block by (doc_id, text); the same order in every pass."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def id_column(ids: np.ndarray) -> pa.Array:
-    """doc_id as it came: NULL_ID stands for null."""
-    return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
+def ids_of(table) -> np.ndarray:
+    """The doc_ids of one block, where either all rows have one or none."""
+    return pc.fill_null(table.column("doc_id"), NULL_ID).to_numpy()
 
 
 def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -118,3 +171,15 @@ def covered(n: int, starts: np.ndarray, length) -> np.ndarray:
     """Which of n places lie in [start, start + length) of any start."""
     steps = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + length, n), minlength=n + 1)
     return np.cumsum(steps[:n]) > 0
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value before each (-1: none); all places jump at once along what others have found."""
+    n = len(values)
+    found = np.arange(-1, n - 1, dtype=np.int64)
+    open_ = np.flatnonzero(found >= 0)
+    while len(open_):
+        open_ = open_[values[found[open_]] >= values[open_]]
+        found[open_] = found[found[open_]]
+        open_ = open_[found[open_] >= 0]
+    return found

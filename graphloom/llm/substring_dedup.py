@@ -1,28 +1,33 @@
 """Operator 2, substring dedup: prefix-partitioned suffix trees over words.
 
 The corpus is a string of words; a suffix starts at each word.  A repeat of at
-least ``k`` words is an internal node of the suffix tree at depth k or more, so
-each subtree is built down to depth k, where its leaves are the suffixes that
-share a whole window of k words.
-
-* Partition.  A suffix's prefix is the sequence of the 4-bit classes of its
-  first words.  One pass counts prefixes; ``prefix_groups`` lengthens just
-  those prefixes whose suffixes would not fit in memory, so prefixes vary in
-  length.  Suffixes still too many at the longest prefix go on by the
-  fingerprint of their windows.
-* Subtrees.  Below its prefix a branch is one compressed edge, labelled by a
-  72-bit fingerprint of the suffix's first k words (with the prefix it tells
-  windows apart).  ``_subtree`` sorts a group's branches, whose equal runs are the
-  deep internal nodes, and gives the first block of each.
-* Removal.  Blocks follow doc_id, so a node whose first block is earlier marks
-  its suffixes in later blocks; inside a block the smallest doc_id is known.
-  Neighbouring marked windows merge into maximal repeats when words are dropped.
-
-A block sends each distinct window once, so a passage in every document costs
-one entry per block.  Rows with equal doc_id count as one document's parts.
-Null doc_id sorts first (it is a document of its own id), null and empty texts
-have no words, texts of fewer than k words lose nothing; extra columns are
-ignored; an empty table gives an empty result.
+least ``k`` words is an internal node of the suffix tree at depth k or more.
+
+* Partition.  A suffix's prefix is the sequence of the classes (CLASSES of them,
+  by hash) of its first words, so all suffixes that begin with the same words
+  share it.  One pass counts prefixes; ``prefix_groups`` lengthens just those
+  prefixes whose suffixes would not fit in memory, so prefixes vary in length; a
+  prefix of DEPTH words with still too many is lengthened to all k words.  Each
+  group holds whole subtrees.
+* Leaves of their own.  A suffix whose first k words no other block has hangs on
+  no node of depth k.  Blocks send short codes of their distinct windows, and
+  only windows whose code another block has, too, go on.
+* Subtrees.  Those suffixes travel as words, down to depth k: a block sends each
+  distinct one once, as places in a dictionary of the words it uses.  A group
+  sorts its suffixes by their words, takes the longest common prefixes of
+  neighbours and from them the internal nodes (``SubTree``).  Nodes of depth k
+  are repeats; each marks its suffixes in all blocks but the first.
+* Removal.  Blocks follow doc_id, so suffixes of later blocks go; inside a block
+  the smallest doc_id is known.  Neighbouring marked suffixes merge into maximal
+  repeats when words are dropped.
+
+Suffixes are compared by their words, not by hashes: what removes a word is a
+node of a tree, or equal words inside a block.  A passage in every document
+costs one suffix a block.  Rows with equal doc_id count as one document's parts.
+Null doc_id sorts first (it is a document of its own id, whose rows may fill
+several blocks), null and empty texts have no words, texts of fewer than k words
+lose nothing; a very long text is one row of its block and must fit into a
+worker's memory; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,21 +43,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graphloom.llm import _text as tx
-from graphloom.llm._blocks import NULL_ID, bits, blocked, covered, id_column, in_order, pack, runs, slices, unbits, unpack
+from graphloom.llm._blocks import bits, blocked, covered, ids_of, in_order, nearest_smaller, pack, runs, slices, unbits, unpack
 
 WINDOW = 13
-GROUP_KEYS = 3_000_000
-DEPTH = 4  # classes in the longest prefix
-_CLASSES = 16
+GROUP_KEYS = 1_000_000
+DEPTH = 4  # words in the longest prefix but that of all k
+CLASSES = 16
+CODE_BITS = 28  # of a window within its group
 
 
 def prefix_groups(counts: np.ndarray, most: int) -> tuple[np.ndarray, int]:
     """Group of each longest prefix, and the number of groups.
 
-    counts: suffixes by longest prefix (_CLASSES ** DEPTH cells).  A prefix is
+    counts: suffixes by longest prefix (CLASSES ** DEPTH cells).  A prefix is
     lengthened only while it has more than ``most`` suffixes; short neighbouring
-    prefixes share a group.  A longest prefix that has more gets several groups,
-    numbered from its own on (see ``_send``).
+    prefixes share a group.  One of DEPTH words that has more gets several groups,
+    numbered from its own on, dealt by all k words.
     """
     total = np.concatenate([[0], np.cumsum(counts)])
     group, state = np.zeros(len(counts), np.int64), [0, 0]  # next group, filled
@@ -60,8 +66,8 @@ def prefix_groups(counts: np.ndarray, most: int) -> tuple[np.ndarray, int]:
     def walk(at: int, size: int) -> None:
         n = int(total[at + size] - total[at])
         if n > most and size > 1:
-            for i in range(_CLASSES):
-                walk(at + i * size // _CLASSES, size // _CLASSES)
+            for i in range(CLASSES):
+                walk(at + i * size // CLASSES, size // CLASSES)
             return
         if state[1] and state[1] + n > most:
             state[:] = [state[0] + 1, 0]
@@ -74,40 +80,106 @@ def prefix_groups(counts: np.ndarray, most: int) -> tuple[np.ndarray, int]:
     return group, state[0] + 1
 
 
+class SubTree:
+    """The suffix tree of some suffixes, each a row of k words (numbers).
+
+    order: the rows in suffix order; shared: how many words each of them has in
+    common with the one before; depth, first, last: the internal nodes, as the
+    words on their path and the leaves from first to last (in suffix order).
+    """
+
+    def __init__(self, words: np.ndarray):
+        n, k = words.shape
+        bits_of = max(1, int(words.max(initial=0)).bit_length())
+        per = 63 // bits_of
+        columns = []
+        for a in range(0, k, per):
+            packed = np.zeros(n, np.int64)
+            for j in range(a, min(k, a + per)):
+                packed = packed << bits_of | words[:, j]
+            columns.append(packed)
+        self.order = np.lexsort(columns[::-1])
+        ordered = words[self.order]
+        self.shared = np.zeros(n, np.int64)
+        running = np.ones(max(0, n - 1), bool)
+        for j in range(k):
+            running &= ordered[1:, j] == ordered[:-1, j]
+            self.shared[1:] += running
+        lo = nearest_smaller(self.shared)
+        hi = n - nearest_smaller(self.shared[::-1])[::-1]
+        at = np.flatnonzero(self.shared > 0)
+        node = np.unique(np.stack([np.maximum(lo[at], 0), hi[at] - 2, self.shared[at]], 1), axis=0) if len(at) else np.zeros((0, 3), np.int64)
+        self.first, self.last, self.depth = node.T
+
+    def later(self, blocks: np.ndarray, k: int) -> np.ndarray:
+        """Rows under nodes of depth k whose block is not the first of their node."""
+        out = np.zeros(len(self.order), bool)
+        deep = np.flatnonzero(self.depth >= k)
+        size = (self.last - self.first + 1)[deep]
+        leaf = np.repeat(self.first[deep], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        row = self.order[leaf]
+        if len(deep):
+            least = np.minimum.reduceat(blocks[row], np.cumsum(size) - size)
+            out[row] = blocks[row] > np.repeat(least, size)
+        return out
+
+
 class _Windows:
-    """The windows of one block, and its distinct ones in (group, fingerprint) order."""
+    """The windows (suffixes of k words or more) of one block, and their groups."""
 
     def __init__(self, table: pa.Table, k: int, group: np.ndarray | None = None, share: np.ndarray | None = None):
+        self.k = k
         self.buf, offsets = tx.flat(table.column("text"))
-        self.ids = table.column("doc_id").fill_null(NULL_ID).to_numpy()
-        starts, ends, self.first = tx.word_bounds(self.buf, offsets)
+        self.ids = ids_of(table)
+        self.starts, self.ends, self.first = tx.word_bounds(self.buf, offsets)
         self.offsets = offsets
-        words = tx.word_hashes(self.buf, starts, ends)
+        words = tx.word_hashes(self.buf, self.starts, self.ends)
         self.n_words = len(words)
         high = tx.windows(words, k)
         self.at = np.flatnonzero(tx.inside(self.first, len(high), k)) if len(high) else np.zeros(0, np.int64)
         prefix = np.zeros(len(self.at), np.int64)
         for j in range(DEPTH):
-            prefix = prefix * _CLASSES + (words[self.at + j] >> tx.U64(60)).astype(np.int64)
+            prefix = prefix * CLASSES + (words[self.at + j] >> tx.U64(60)).astype(np.int64)
         if group is None:
             self.prefix = prefix
             return
-        high, low = high[self.at], (tx.windows(words, k, second=True)[self.at] >> tx.U64(48)).astype(np.uint16)
-        where = group[prefix]
-        where += ((high >> tx.U64(40)).astype(np.int64) * share[prefix]) >> 24
-        high &= tx.U64((1 << 56) - 1)
-        order = np.lexsort((low, high, where)) if len(high) else np.zeros(0, np.int64)
-        where, high, low = where[order], high[order], low[order]
+        self.hash = high[self.at]
+        self.where = group[prefix] + (((self.hash >> tx.U64(40)).astype(np.int64) * share[prefix]) >> 24)
+        self.code = self.hash & tx.U64((1 << CODE_BITS) - 1)
+
+    def coded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group and code of the distinct ones in order, and which of them each window has."""
+        order = np.lexsort((self.code, self.where))
+        where, code = self.where[order], self.code[order]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (where[1:] != where[:-1])
-        self.key = np.empty(len(order), np.int64)  # the distinct window of each window
-        self.key[order] = np.cumsum(fresh) - 1
-        self.where, self.high, self.low = where[fresh], high[fresh], low[fresh]
+        fresh[1:] = (where[1:] != where[:-1]) | (code[1:] != code[:-1])
+        key = np.empty(len(order), np.int64)
+        key[order] = np.cumsum(fresh) - 1
+        return where[fresh], code[fresh], key
+
+    def word_numbers(self) -> np.ndarray:
+        """The number of each word of the block, the same for the same bytes only."""
+        raw, known = self.buf.tobytes(), {}
+        self.dictionary = known
+        text = (w for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True) for w in raw[a:b].split())
+        return np.fromiter((known.setdefault(w, len(known)) for w in text), np.int32, self.n_words)
+
+    def same(self, numbers: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Some windows (indexes) with equal ones beside each other, in order of place, and which of them have no equal one before."""
+        order = some[np.argsort(self.hash[some], kind="stable")]
+        equal = self.hash[order[1:]] == self.hash[order[:-1]]
+        a, b = self.at[order[1:][equal]], self.at[order[:-1][equal]]
+        if not all((numbers[a + j] == numbers[b + j]).all() for j in range(self.k)):  # equal hashes of different words
+            order = some[np.lexsort([numbers[self.at[some] + j] for j in range(self.k)])]
+            equal = np.ones(max(0, len(order) - 1), bool)
+            for j in range(self.k):
+                equal &= numbers[self.at[order[1:]] + j] == numbers[self.at[order[:-1]] + j]
+        return order, np.concatenate([np.ones(min(1, len(order)), bool), ~equal])
 
 
 def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_CLASSES**DEPTH, np.int64)
+        counts = np.zeros(CLASSES**DEPTH, np.int64)
         for b in batches:
             for piece in slices(b):
                 counts += np.bincount(_Windows(pa.Table.from_batches([piece]), k).prefix, minlength=len(counts))
@@ -117,47 +189,96 @@ def _count(k: int):
     return run
 
 
-def _send(k: int, group: np.ndarray, share: np.ndarray):
+def _send_codes(k: int, group: np.ndarray, share: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        w = _Windows(in_order(table), k, group, share)
-        rows = [(g, block, pack(w.high[a:b]), w.low[a:b].tobytes()) for g, a, b in runs(w.where)]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["grp", "block", "high", "low"])
+        where, code, _ = _Windows(in_order(table), k, group, share).coded()
+        return _table([(g, block, pack(code[a:b])) for g, a, b in runs(where)], ["grp", "block", "codes"], [pa.int64(), pa.int32(), pa.binary()])
 
     return run
 
 
-def _subtree(table: pa.Table) -> pa.Table:
-    """Deep nodes of one group's tree: for each block, which of its windows start in an earlier block."""
-    blocks = table.column("block").to_numpy()
-    high = [unpack(x.as_buffer().to_pybytes()) for x in table.column("high")]
-    low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("low")])
-    sizes = np.array([len(x) for x in high])
-    block = np.repeat(blocks, sizes)
-    high = np.concatenate(high)
-    order = np.lexsort((block, low, high))
-    high, low = high[order], low[order]
-    again = np.zeros(len(order), bool)  # leaves after the first of a node
-    again[1:] = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
-    marked = np.empty(len(order), bool)
-    marked[order] = again
-    out = [bits(x) for x in np.split(marked, np.cumsum(sizes)[:-1])]
-    return pa.table({"grp": table.column("grp").cast(pa.int64()), "block": pa.array(blocks, pa.int32()), "marks": pa.array(out, pa.binary())})
-
-
-def _drop(k: int, group: np.ndarray, share: np.ndarray, with_text: bool):
+def _shared_codes(table: pa.Table) -> pa.Table:
+    """For each block of a group, which of its codes another block has, too."""
+    codes = [unpack(x.as_buffer().to_pybytes()) for x in table.column("codes")]
+    sizes = np.cumsum([len(x) for x in codes])[:-1]
+    codes = np.concatenate(codes)
+    order = np.argsort(codes)
+    same = codes[order[1:]] == codes[order[:-1]]
+    again = np.zeros(len(codes), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    return pa.table({"grp": table.column("grp").cast(pa.int64()), "block": table.column("block").cast(pa.int32()), "again": pa.array([bits(x) for x in np.split(again, sizes)], pa.binary())})
+
+
+def _send_suffixes(k: int, group: np.ndarray, share: np.ndarray):
+    """Rows (grp, block, places, dictionary, words) of the distinct suffixes whose code another block has, too."""
+
+    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        block = docs.column("block")[0].as_py()
+        w = _Windows(in_order(docs), k, group, share)
+        where, _, key = w.coded()
+        again = np.zeros(len(where), bool)
+        bounds = {g: (a, b) for g, a, b in runs(where)}
+        for g, m in zip(marks.column("grp").to_pylist(), marks.column("again").to_pylist(), strict=True):
+            a, b = bounds[g]
+            again[a:b] = unbits(m, b - a)
+        numbers = w.word_numbers()
+        known = np.array([*w.dictionary, b""], object)
+        order, fresh = w.same(numbers, np.flatnonzero(again[key]))
+        some = order[fresh]
+        some = some[np.lexsort((some, w.where[some]))]
+        rows = []
+        for g, a, b in runs(w.where[some]):
+            at = w.at[some[a:b]]
+            used, place = np.unique(numbers[at[:, None] + np.arange(k)], return_inverse=True)
+            place = place.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
+            rows.append((g, block, some[a:b].astype(np.uint32).tobytes(), b" ".join(known[used]), place.tobytes()))
+        return _table(rows, ["grp", "block", "places", "dictionary", "words"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+
+    return run
+
+
+def _subtree(k: int, n_null: int):
+    """The places in each block whose suffixes start in an earlier one, from one group's tree."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_numpy()
+        known: dict[bytes, int] = {}
+        rows, sizes = [], []
+        for d, x in zip(table.column("dictionary"), table.column("words"), strict=True):
+            mine = np.fromiter((known.setdefault(w, len(known)) for w in d.as_buffer().to_pybytes().split(b" ")), np.int32)
+            x = x.as_buffer()
+            rows.append(mine[np.frombuffer(x, np.uint16 if len(mine) < 1 << 16 else np.uint32)].reshape(-1, k))
+            sizes.append(len(rows[-1]))
+        # the first blocks hold the rows without doc_id, one document together
+        order = np.maximum(blocks - (n_null - 1), 0) if n_null else blocks
+        marked = SubTree(np.concatenate(rows)).later(np.repeat(order, sizes), k)
+        places = [np.frombuffer(x.as_buffer(), np.uint32)[m].tobytes() for x, m in zip(table.column("places"), np.split(marked, np.cumsum(sizes)[:-1]), strict=True)]
+        return _table([x for x in zip(blocks.tolist(), places, strict=True) if x[1]], ["block", "places"], [pa.int32(), pa.binary()])
+
+    return run
+
+
+def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def _drop(k: int, with_text: bool):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         docs = in_order(docs)
-        w = _Windows(docs, k, group, share)
-        marked = np.zeros(len(w.where), bool)
-        cuts = dict(zip(*(x.tolist() for x in np.unique(w.where, return_index=True)), strict=True))
-        sizes = dict(zip(*(x.tolist() for x in np.unique(w.where, return_counts=True)), strict=True))
-        for g, m in zip(marks.column("grp").to_pylist(), marks.column("marks").to_pylist(), strict=True):
-            marked[cuts[g] : cuts[g] + sizes[g]] = unbits(m, sizes[g])
+        w = _Windows(docs, k, np.zeros(CLASSES**DEPTH, np.int64), np.ones(CLASSES**DEPTH, np.int64))
+        marked = np.zeros(len(w.at), bool)
+        for x in marks.column("places"):
+            marked[np.frombuffer(x.as_buffer(), np.uint32)] = True
+        order, fresh = w.same(w.word_numbers(), np.arange(len(w.at)))
+        head = np.flatnonzero(fresh)
         ids = w.ids[tx.owner(w.first)[w.at]]
-        least = np.full(len(w.where), np.iinfo(np.int64).max)
-        np.minimum.at(least, w.key, ids)
-        gone = covered(w.n_words, w.at[marked[w.key] | (least[w.key] < ids)], k)
+        gone = np.zeros(len(w.at), bool)
+        if len(head):
+            size = np.diff(np.append(head, len(order)))
+            earlier = np.repeat(np.maximum.reduceat(marked[order], head), size)
+            gone[order] = earlier | (np.repeat(np.minimum.reduceat(ids[order], head), size) < ids[order])
+        gone = covered(w.n_words, w.at[gone], k)
         n_removed, digests, texts = [], [], []
         raw = w.buf.tobytes()
         for i in range(docs.num_rows):
@@ -168,7 +289,7 @@ def _drop(k: int, group: np.ndarray, share: np.ndarray, with_text: bool):
             digests.append(hashlib.sha256(kept).hexdigest())
             if with_text:
                 texts.append(kept.decode() if n_removed[-1] else None)
-        out = {"doc_id": id_column(w.ids), "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        out = {"doc_id": docs.column("doc_id"), "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if with_text:
             out |= {"text": docs.column("text"), "kept": pa.array(texts, pa.string()), "rest": docs.column("rest")}
         return pa.table(out)
@@ -183,18 +304,20 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, group_keys: int = GROUP_K
     """
     if k < DEPTH:
         raise ValueError(f"windows of {DEPTH} words or more")
-    parts, _, _ = blocked(docs, *([block_bytes] if block_bytes else []), rest=rest)
-    counts = np.zeros(_CLASSES**DEPTH, np.int64)
+    parts, _, n_null, _ = blocked(docs, *([block_bytes] if block_bytes else []), rest=rest)
+    counts = np.zeros(CLASSES**DEPTH, np.int64)
     for prefix, n in parts.select("doc_id", "text").mapInArrow(_count(k), "prefix long, n long").groupBy("prefix").agg(F.sum("n")).collect():
         counts[prefix] = n
     group, _ = prefix_groups(counts, group_keys)
     share = np.maximum(1, -(-counts // group_keys))
-    sent = parts.groupBy("block").applyInArrow(_send(k, group, share), "grp long, block int, high binary, low binary")
-    marks = sent.groupBy("grp").applyInArrow(_subtree, "grp long, block int, marks binary")
+    sent = parts.groupBy("block").applyInArrow(_send_codes(k, group, share), "grp long, block int, codes binary")
+    again = sent.groupBy("grp").applyInArrow(_shared_codes, "grp long, block int, again binary")
+    suffixes = parts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_send_suffixes(k, group, share), "grp long, block int, places binary, dictionary binary, words binary")
+    marks = suffixes.groupBy("grp").applyInArrow(_subtree(k, n_null), "block int, places binary")
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
     if rest is not None:
         schema = schema.add("text", "string").add("kept", "string").add(parts.schema["rest"])
-    return parts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_drop(k, group, share, rest is not None), schema)
+    return parts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_drop(k, rest is not None), schema)
 
 
 def without_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:

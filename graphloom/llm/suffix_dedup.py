@@ -28,7 +28,7 @@ into groups that still hold every earlier occurrence that matters:
    through the same arrays.
 
 Rows of equal doc_id are parts of one document, ordered by text; null doc_id
-comes first.  Null and empty texts have no bytes; texts shorter than ``length``
+comes first, its rows in a fixed order of their own.  Null and empty texts have no bytes; texts shorter than ``length``
 lose nothing; a very long text is one row of its block and must fit into a
 worker's memory; extra columns are ignored; an empty table gives an empty result.
 """
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text as tx
-from graphloom.llm._blocks import bits, blocked, id_column, in_order, pack, runs, unbits, unpack
+from graphloom.llm._blocks import bits, blocked, in_order, nearest_smaller, pack, runs, unbits, unpack
 
 LENGTH = 100
 GRAM = 32
@@ -149,18 +149,6 @@ class _Prefixes:
         return np.minimum(n, self.length)
 
 
-def nearest_smaller(values: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value before each (-1: none); all places jump at once along what others have found."""
-    n = len(values)
-    found = np.arange(-1, n - 1, dtype=np.int64)
-    open_ = np.flatnonzero(found >= 0)
-    while len(open_):
-        open_ = open_[values[found[open_]] >= values[open_]]
-        found[open_] = found[found[open_]]
-        open_ = open_[found[open_] >= 0]
-    return found
-
-
 def previous_factors(text: np.ndarray, starts: np.ndarray, positions: np.ndarray, length: int) -> np.ndarray:
     """The longest previous factor, at most ``length``, of each suffix text[start:] (of ``length`` bytes or more).
 
@@ -194,7 +182,6 @@ class _Anchors:
     """The anchors of one block and its distinct ones by group and key."""
 
     def __init__(self, table: pa.Table, length: int, groups: int):
-        self.ids = table.column("doc_id").to_numpy()
         self.buf, self.offsets = tx.flat(table.column("text"))
         self.at, h = anchors(self.buf, self.offsets, length)
         h = tx.mix(h ^ tx.U64(0x5851F42D4C957F2D))  # least hashes are small: spread them evenly over the groups
@@ -421,7 +408,7 @@ def _drop(docs: pa.Table, spans: pa.Table) -> pa.Table:
         n_removed.append(int(np.count_nonzero(mine)))
         n_spans.append(int(np.count_nonzero(mine[1:] & ~mine[:-1]) + mine[0]) if n_removed[-1] else 0)
         digests.append(hashlib.sha256(buf[s:e][~mine] if n_removed[-1] else buf[s:e]).hexdigest())
-    out = [id_column(docs.column("doc_id").to_numpy()), np.diff(offsets), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
+    out = [docs.column("doc_id"), np.diff(offsets), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
     return pa.table(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
@@ -429,7 +416,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs (doc_id, text)."""
     if length < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes or more")
-    parts, _, total = blocked(docs, block_bytes)
+    parts, total, _, _ = blocked(docs, block_bytes)
     groups = max(1, -(-total // (16 * group_keys)))
     fine = max(1, MOST_SENT * total // group_bytes)
     sent = parts.groupBy("block").applyInArrow(_send_anchors(length, groups), "grp long, block int, keys binary, n binary")

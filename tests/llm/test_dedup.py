@@ -2,9 +2,10 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from graphloom.llm import jaccard_join, substring_dedup, suffix_dedup
+from graphloom.llm import _blocks, jaccard_join, substring_dedup, suffix_dedup
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -39,6 +40,81 @@ def test_substring_dedup(docs, rows, limits):
     assert sum(r[2] for r in got) > 100
 
 
+def naive_nodes(words, k):
+    """Paths with two leaves or more that branch or end at depth k, with their leaves."""
+    out = set()
+    for d in range(1, k + 1):
+        for path in {tuple(w[:d]) for w in words}:
+            leaves = [i for i, w in enumerate(words) if tuple(w[:d]) == path]
+            if len(leaves) > 1 and (d == k or len({words[i][d] for i in leaves}) > 1):
+                out.add((path, tuple(leaves)))
+    return out
+
+
+@pytest.mark.parametrize("letters", [1, 2, 5, 70000])
+def test_subtree_has_the_nodes_of_a_naive_tree(letters):
+    r = np.random.default_rng(letters)
+    text = r.integers(0, letters, 200)
+    text[100:160] = text[20:80]
+    k = 7
+    words = np.stack([text[i : i + k] for i in range(len(text) - k + 1)]).astype(np.int64)
+    tree = substring_dedup.SubTree(words)
+    got = {(tuple(words[tree.order[a]][:d].tolist()), tuple(sorted(tree.order[a : b + 1].tolist()))) for a, b, d in zip(tree.first, tree.last, tree.depth, strict=True)}
+    assert got == naive_nodes(words.tolist(), k)
+    blocks = r.integers(0, 9, len(words))
+    want = [any(blocks[j] < blocks[i] and (words[j] == words[i]).all() for j in range(len(words))) for i in range(len(words))]
+    assert tree.later(blocks, k).tolist() == want
+
+
+def test_equal_hashes_of_different_words_stay_apart():
+    text = "a b c d e x a b c d e y a b c d f"
+    w = substring_dedup._Windows(pa.table({"doc_id": [1], "text": [text]}), 5, np.zeros(16**4, np.int64), np.ones(16**4, np.int64))
+    w.hash = np.zeros_like(w.hash)
+    order, fresh = w.same(w.word_numbers(), np.arange(len(w.at)))
+    got = [set(x.tolist()) for x in np.split(order, np.flatnonzero(fresh)[1:])]
+    assert sorted(map(sorted, got)) == sorted([[0, 6], *[[i] for i in range(len(w.at)) if i not in (0, 6)]])
+
+
+ODD_IDS = [
+    [-(2**63), -5, 0, 7, 2**62, 2**63 - 1],
+    [*range(40), 2**62],
+    [*range(0, 4000, 100), *range(10**12, 10**12 + 60)],
+    [None] * 60,
+    [None, None, 3, 3, 3, *range(10, 40)],
+]
+
+
+@pytest.mark.parametrize("ids", ODD_IDS)
+def test_blocks_of_odd_ids(spark, ids):
+    df = spark.createDataFrame([(i, f"text {j} " * 30) for j, i in enumerate(ids)], "doc_id long, text string")
+    got = _blocks.blocked(df, 1500)
+    rows = got.rows.collect()
+    assert len(rows) == len(ids)
+    sizes, first, last = {}, {}, {}
+    for r in rows:
+        sizes[r.block] = sizes.get(r.block, 0) + len(r.text) + 64
+        assert (r.block < got.n_null) == (r.doc_id is None)
+        if r.doc_id is not None:
+            first[r.block], last[r.block] = min(first.get(r.block, r.doc_id), r.doc_id), max(last.get(r.block, r.doc_id), r.doc_id)
+    order = sorted(first)
+    assert all(last[a] < first[b] for a, b in zip(order, order[1:]))
+    # no block is much larger than asked for; rows dealt by hash vary more
+    assert max(sizes.values()) <= 3 * 1500 + 400 or got.n_null and max(sizes.values()) <= 6000
+    again = {r.doc_id: r.b for r in df.where("doc_id is not null").select("doc_id", got.block_of("doc_id").alias("b")).collect()}
+    assert all(again[r.doc_id] == r.block for r in rows if r.doc_id is not None)
+
+
+@pytest.mark.parametrize("ids", ODD_IDS)
+def test_dedup_of_odd_ids(spark, ids):
+    t = " ".join(f"w{j}" for j in range(30))
+    rows = [(i, f"{t} own{j % 7} {t}") for j, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substring_dedup.dedup_substrings(df, block_bytes=1500, group_keys=50).collect()), key=repr)
+    low = -(2**64)
+    want = sorted((((None if i == low else i), *more) for i, *more in brute_words([(low if i is None else i, t) for i, t in rows], 13)), key=repr)
+    assert got == want
+
+
 def test_substring_dedup_of_odd_rows(odd_docs, no_docs):
     got = sorted((tuple(r)[:3] for r in substring_dedup.dedup_substrings(odd_docs).collect()), key=repr)
     # rows of one id don't remove each other; null comes first
@@ -128,7 +204,7 @@ def test_nearest_smaller():
     r = np.random.default_rng(3)
     for v in (r.integers(0, 20, 500), np.arange(300), np.arange(300)[::-1], np.zeros(300, int)):
         want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(len(v))]
-        assert suffix_dedup.nearest_smaller(v).tolist() == want
+        assert _blocks.nearest_smaller(v).tolist() == want
 
 
 def test_halves_hold_every_window_once():
@@ -193,9 +269,49 @@ def test_jaccard_of_odd_rows(odd_docs, no_docs):
     assert jaccard_join.join_classes(no_docs).count() == 0
 
 
-def test_trie_join():
+def link(a, b, percent):
+    return 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+
+
+def test_trie_finds_the_sets_that_link():
     r = np.random.default_rng(2)
     probe = np.unique(r.integers(0, 2**60, 300, dtype=np.uint64))
     groups = [np.unique(np.concatenate([probe[r.random(len(probe)) < keep], r.integers(0, 2**60, more, dtype=np.uint64)])) for keep in (1.0, 0.95, 0.9, 0.85, 0.5) for more in (0, 10, 30, 80)]
-    want = [i for i, s in enumerate(groups) if 100 * len(np.intersect1d(s, probe)) >= 80 * len(np.union1d(s, probe))]
-    assert sorted(jaccard_join.trie_join(probe, groups, 80)) == want
+    groups += [groups[0], groups[7], groups[0][:40], probe[:1]]  # equal ones, and beginnings of others
+    for percent in (50, 80, 95, 100):
+        want = [i for i, s in enumerate(groups) if link(s, probe, percent)]
+        assert sorted(jaccard_join.Trie(groups).search(probe, percent)) == want
+    assert jaccard_join.Trie([]).search(probe, 80) == []
+
+
+def test_trie_shares_beginnings_and_leaves_subtrees():
+    r = np.random.default_rng(4)
+    base = np.unique(r.integers(0, 2**60, 400, dtype=np.uint64))
+    other = np.unique(r.integers(0, 2**60, 400, dtype=np.uint64))
+    # two families of sets that are nearly equal within
+    near = [np.unique(np.concatenate([b, r.integers(0, 2**60, 5, dtype=np.uint64)])) for b in (base, other) for _ in range(100)]
+    trie = jaccard_join.Trie(near)
+    assert len(trie.roots) == 2 and {len(n.below) for n in trie.roots} == {100} and all(n.end >= 390 for n in trie.roots)
+    assert sorted(trie.search(base, 80)) == list(range(100))
+    # the whole family of the other base is left on its first edge
+    assert trie.cut == 1 and trie.looked == 2 + 100
+
+
+def test_jaccard_of_large_groups(spark):
+    """A third of the documents share their beginning without linking; copies and chains hide among them."""
+    r = np.random.default_rng(6)
+    head = [f"h{j}" for j in range(30)]
+    rows = []
+    for i in range(90):
+        own = [f"x{r.integers(0, 10**6)}" for _ in range(30)]
+        rows.append((i, " ".join(head + own)))
+        if i % 9 == 0:
+            rows.append((1000 + i, " ".join(head + own + ["end"])))
+        if i % 10 == 0:
+            rows.append((2000 + i, " ".join(head + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old, jaccard_join.PART_DOCS = jaccard_join.PART_DOCS, 20
+    try:
+        assert sorted(tuple(x) for x in jaccard_join.join_classes(df, small=2).collect()) == brute_classes(rows)
+    finally:
+        jaccard_join.PART_DOCS = old
