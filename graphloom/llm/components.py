@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SALTS = 32
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of our own only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or (Path(tempfile.gettempdir()) / "graphloom-checkpoints").as_uri()
+    """The folder that the session names in spark.checkpoint.dir; one of our own only in a session of one machine that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or (Path(tempfile.gettempdir()) / "graphloom-checkpoints").as_uri()
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -34,8 +40,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("doc_id").alias("b"), F.col("component_id").alias("c")), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("c").alias("c"))
         step = labels.join(near, "doc_id").select("doc_id", F.col("component_id").alias("old"), F.least("component_id", "c").alias("new"))
-        jump = step.select(F.col("doc_id").alias("new"), F.col("new").alias("further"))
-        after = saved(step.join(jump, "new", "left").select("doc_id", "old", F.coalesce("further", "new").alias("component_id")))
+        step = saved(step)
+        # the labels of labels; a label that very many nodes have is met by their salts, in several tasks
+        jump = step.where("new < doc_id").select(F.col("doc_id").alias("new"), F.col("new").alias("further")).join(step.select("new").distinct(), "new", "left_semi")
+        jump = jump.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        after = saved(step.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(jump, ["new", "salt"], "left").select("doc_id", "old", F.coalesce("further", "new").alias("component_id")))
         labels = after.select("doc_id", "component_id")
         if after.where("old <> component_id").isEmpty():
             return labels

@@ -12,25 +12,33 @@ of ``k``-word shingles is ``percent`` / 100 or more.
    equal sets meet by set and are linked there, and one of them goes on.  Among
    up to SMALL sets all pairs whose sizes allow a link are candidates; in larger
    groups each set first meets the least document only.
-3. Trie join.  The sets of a document's candidates go into a prefix tree in
-   which sets with a common beginning share its path and the overlap counted on
-   it; a subtree is left as soon as what remains is too short to reach the
-   overlap needed (``trie_join``).  The result is exact.
-4. Classes.  Links make components (least doc_id reachable).  Pairs of larger
-   groups that are still in different components are joined in a second round,
-   so no link between different classes is lost, and a group of n copies costs n
+3. Trie join.  The sets of a document's candidates go into a prefix tree
+   (``Trie``).  There the shingles are ranked by how many of the tree's sets hold
+   them, most first, the other way round than in step 1: sets that are nearly
+   equal then share long beginnings, on which the overlap is counted once for
+   all of them.  Every node knows the least and the largest set below it; its
+   subtree is left as soon as what remains is too short for any of them to reach
+   the overlap it needs.  The result is exact.
+4. Classes.  Links make components (least doc_id reachable).
+5. Large groups.  Where a group of step 2 has members of different components,
+   they are joined with each other as well: the group is dealt in parts of about
+   PART_DOCS sets, each two parts meet in a task of their own, one as a trie and
+   the other as probes, and only members of different components are compared.
+   No link between different classes is lost, and a group of n copies costs n
    pairs, not n * n.
 
 A text of fewer than k words is one shingle; without words the set is empty and
 links with nothing.  Null texts have no words.  Rows with null doc_id link with
 nothing and have a null component_id; rows of equal doc_id are each compared,
-under one id.  Extra columns are ignored; an empty table gives an empty result.
+under one id.  A very long text is one row of its block and must fit into a
+worker's memory.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text as tx
-from graphloom.llm._blocks import blocked, in_order, pack, runs, unpack
+from graphloom.llm._blocks import blocked, in_order, pack, runs, slices, unpack
 from graphloom.llm.components import components, saved
 from graphloom.llm.decontamination import shingle_hashes
 
@@ -194,34 +202,75 @@ def _meet(percent: int, parts: int, small: int):
     return run
 
 
-def trie_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Indexes of the sets (sorted arrays) that link with probe (sorted).
-
-    The sets are walked as the leaves of a path-compressed prefix tree: a set
-    starts from the overlap counted at the node where it leaves the set before.
-    """
-    out = []
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    before, seen = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # the path last walked, and the overlap at each depth of it
-    for i in order:
-        s = sets[i]
-        need = -(-percent * (len(probe) + len(s)) // (100 + percent))
-        m = min(len(before), len(s))
-        differ = np.flatnonzero(before[:m] != s[:m])
-        depth = int(differ[0]) if len(differ) else m
-        depth = min(depth, len(seen) - 1)
-        counted = [seen[: depth + 1]]
-        overlap = int(seen[depth])
-        while depth < len(s) and overlap + min(len(s) - depth, len(probe) - overlap) >= need:
-            step = s[depth : depth + 64]
-            at = np.minimum(np.searchsorted(probe, step), len(probe) - 1)
-            sums = overlap + np.cumsum(probe[at] == step)
-            counted.append(sums)
-            overlap, depth = int(sums[-1]), depth + len(step)
-        before, seen = s[:depth], np.concatenate(counted)
-        if depth == len(s) and 100 * overlap >= percent * (len(probe) + len(s) - overlap):
-            out.append(i)
-    return out
+class _Node(NamedTuple):
+    at: int  # a set whose path leads through here
+    start: int  # the places on that path
+    end: int
+    least: int  # sizes of the sets below
+    most: int
+    ends: list[int]  # sets that end here
+    below: list[_Node]
+
+
+class Trie:
+    """Sets as a path-compressed prefix tree. looked, cut: edges walked and subtrees left since it was made."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.looked = self.cut = 0
+        flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        self.tokens, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.tokens), np.int64)
+        self.rank[np.argsort(-count, kind="stable")] = np.arange(len(self.tokens))
+        self.paths = [np.sort(x) for x in np.split(self.rank[place], np.cumsum([len(x) for x in sets])[:-1])] if sets else []
+        order = sorted(range(len(sets)), key=lambda i: self.paths[i].astype(">i8").tobytes())
+        shared = [0] * len(order)
+        for k in range(1, len(order)):
+            a, b = self.paths[order[k - 1]], self.paths[order[k]]
+            m = min(len(a), len(b))
+            differ = np.flatnonzero(a[:m] != b[:m])
+            shared[k] = int(differ[0]) if len(differ) else m
+        self.roots: list[_Node] = []
+        todo = [(0, len(order), 0, self.roots)]
+        while todo:  # leaves first to last (in path order), which share the first ``depth`` places
+            first, last, depth, siblings = todo.pop()
+            cuts = [first, *(k for k in range(first + 1, last) if shared[k] <= depth), last]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                end = min(shared[x + 1 : y], default=len(self.paths[order[x]]))
+                sizes = [len(self.paths[i]) for i in order[x:y]]
+                ends = [i for i, n in zip(order[x:y], sizes, strict=True) if n == end]
+                node = _Node(order[x], depth, end, min(sizes), max(sizes), ends, [])
+                siblings.append(node)
+                if len(ends) < y - x:
+                    todo.append((x + len(ends), y, end, node.below))
+
+    def search(self, probe: np.ndarray, percent: int) -> list[int]:
+        """Indexes of the sets that link with probe (sorted)."""
+        held = np.zeros(len(self.tokens), np.int64)
+        held[self.rank[np.isin(self.tokens, probe, assume_unique=True)]] = 1
+        size, out = len(probe), []
+        stack = [(node, 0) for node in self.roots]
+        while stack:
+            node, overlap = stack.pop()
+            depth, path = node.start, self.paths[node.at]
+            self.looked += 1
+            while depth < node.end and self._possible(node, depth, overlap, size, percent):
+                step = path[depth : min(node.end, depth + 64)]
+                overlap, depth = overlap + int(held[step].sum()), depth + len(step)
+            if depth < node.end or not self._possible(node, depth, overlap, size, percent):
+                self.cut += 1
+                continue
+            if node.ends and 100 * overlap >= percent * (size + node.end - overlap):
+                out += node.ends
+            stack += [(x, overlap) for x in node.below]
+        return out
+
+    @staticmethod
+    def _possible(node: _Node, depth: int, overlap: int, size: int, percent: int) -> bool:
+        """Whether a set below the node may still reach the overlap that it needs: the best of them would end where both run out at once."""
+        n = min(max(depth + size - overlap, node.least), node.most)
+        return (100 + percent) * (overlap + min(n - depth, size - overlap)) >= percent * (size + n)
 
 
 def _send_sets(k: int):
@@ -233,34 +282,57 @@ def _send_sets(k: int):
         sets: dict[int, list[bytes]] = {}
         for i, x in zip(s.ids, s.sets, strict=True):
             sets.setdefault(i, []).append(pack(x))
-        rows = [(at, salt, doc, x) for at, salt, doc in zip(asked.column("at").to_pylist(), asked.column("salt").to_pylist(), ids.tolist(), strict=True) for x in sets.get(doc, ())]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["at", "salt", "doc", "tokens"])
+        asks = zip(*(asked.column(c).to_pylist() for c in ("at", "salt", "side", "doc", "class")), strict=True)
+        rows = [(*ask, x) for ask in asks for x in sets.get(ask[3], ())]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["at", "salt", "side", "doc", "class", "tokens"])
 
     return run
 
 
 def _joined(percent: int):
+    """Links (a, b) between the sets of side 0, in a trie, and those of side 1; without side 1 among themselves."""
+
     def run(table: pa.Table) -> pa.Table:
-        at = table.column("at")[0].as_py()
-        docs = table.column("doc").to_pylist()
+        side, docs, classes_ = (table.column(c).to_pylist() for c in ("side", "doc", "class"))
         sets = [unpack(x.as_buffer().to_pybytes()) for x in table.column("tokens")]
-        others = [i for i, d in enumerate(docs) if d != at]
-        found = {docs[others[j]] for p, d in zip(sets, docs, strict=True) if d == at for j in trie_join(p, [sets[i] for i in others], percent)}
-        return pa.table({"a": pa.array(sorted(found), pa.int64()), "b": pa.array([at] * len(found), pa.int64())})
+        below = [i for i, x in enumerate(side) if x == 0]
+        probes = [i for i, x in enumerate(side) if x == 1] or below
+        trie = Trie([sets[i] for i in below])
+        found = {(docs[below[j]], docs[i]) for i in probes for j in trie.search(sets[i], percent) if classes_[below[j]] != classes_[i]}
+        return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
 SALT_DOCS = 512
+PART_DOCS = 256
+
+
+def _linked(parts: DataFrame, block_of, asks: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among the documents that meet: asks has at, salt (the place), side, doc, class."""
+    sets = parts.groupBy("block").cogroup(asks.withColumn("block", block_of("doc")).groupBy("block")).applyInArrow(_send_sets(k), "at long, salt int, side int, doc long, class long, tokens binary")
+    return sets.groupBy("at", "salt").applyInArrow(_joined(percent), "a long, b long")
 
 
 def _verified(parts: DataFrame, block_of, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link; b's candidates are joined in groups of about SALT_DOCS."""
     many = pairs.groupBy("b").agg(F.count("*").alias("m"))
     salted = pairs.join(many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.expr(f"m div {SALT_DOCS}"))).cast("int"))
-    asks = salted.select(F.col("a").alias("doc"), F.col("b").alias("at"), "salt").unionByName(salted.select(F.col("b").alias("doc"), F.col("b").alias("at"), "salt").distinct())
-    sets = parts.groupBy("block").cogroup(asks.withColumn("block", block_of("doc")).groupBy("block")).applyInArrow(_send_sets(k), "at long, salt int, doc long, tokens binary")
-    return sets.groupBy("at", "salt").applyInArrow(_joined(percent), "a long, b long")
+    below = salted.select(F.col("b").alias("at"), "salt", F.lit(0).alias("side"), F.col("a").alias("doc"), F.col("a").alias("class"))
+    probes = salted.select(F.col("b").alias("at"), "salt", F.lit(1).alias("side"), F.col("b").alias("doc"), F.col("b").alias("class")).distinct()
+    return _linked(parts, block_of, below.unionByName(probes), k, percent)
+
+
+def _linked_in_groups(parts: DataFrame, block_of, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members (token, doc, class) of a group that are in different classes, part against part."""
+    n = F.greatest(F.lit(1), F.expr(f"m div {PART_DOCS}"))
+    many = members.groupBy("token").agg(F.count("*").alias("m")).select("token", n.alias("n"))
+    dealt = members.join(many, "token").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("n")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # places are hashes: if two ever coincide, more sets than needed are compared
+    place = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))
+    return _linked(parts, block_of, met.select(place.alias("at"), F.lit(0).alias("salt"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "doc", "class"), k, percent)
 
 
 def count_shingles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -268,9 +340,7 @@ def count_shingles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            step = max(1, 1000)
-            for at in range(0, b.num_rows, step):
-                piece = b.slice(at, step)
+            for piece in slices(b):
                 h, doc = shingle_hashes(*tx.flat(piece.column(1)), k)
                 bounds = np.searchsorted(doc, np.arange(piece.num_rows + 1))
                 n = [len(np.unique(h[x:y])) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -282,7 +352,7 @@ def count_shingles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block_bytes: int | None = None, small: int = SMALL) -> DataFrame:
     """doc_id, component_id of the documents that link with another."""
     docs = docs.where("doc_id is not null")
-    parts, _, total, block_of = blocked(docs, *([block_bytes] if block_bytes else []), with_block_of=True)
+    parts, total, _, block_of = blocked(docs, *([block_bytes] if block_bytes else []))
     width = min(64, max(24, (total // 4 + 1).bit_length() + 8))
     groups = max(1, -(-total // (6 * GROUP_KEYS)))
     few = max(1, -(-total // (40 * GROUP_KEYS)))
@@ -295,18 +365,16 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block_byt
     links = saved(_verified(parts, block_of, pairs, k, percent).unionByName(met.where("kind = 1").select("a", "b")).distinct())
     _release(docs.sparkSession)
     labels = components(links)
-    members = met.where("kind = 2").select("token", F.col("a").alias("doc"), F.col("n_a").alias("n"))
+    members = met.where("kind = 2").select("token", F.col("a").alias("doc"))
     if members.isEmpty():
         return labels
-    labelled = members.join(labels.withColumnRenamed("doc_id", "doc"), "doc", "left").withColumn("c", F.coalesce("component_id", "doc")).drop("component_id")
-    mixed = labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    rest = labelled.join(mixed, "token", "left_semi")
-    x, y = rest.toDF("doc", "token", "n", "c").select("token", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b")), rest.select("token", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    apart = x.join(y, "token").where(f"b < a and c_a <> c_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    apart = saved(apart)
-    if apart.isEmpty():
+    classed = members.join(labels.withColumnRenamed("doc_id", "doc"), "doc", "left").select("token", "doc", F.coalesce("component_id", "doc").alias("class"))
+    mixed = classed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
+    rest = saved(classed.join(mixed, "token", "left_semi"))
+    if rest.isEmpty():
         return labels
-    return components(saved(links.unionByName(_verified(parts, block_of, apart, k, percent)).distinct()))
+    more = saved(_linked_in_groups(parts, block_of, rest, k, percent).distinct())
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def _release(spark: SparkSession) -> None:
