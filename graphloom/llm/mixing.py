@@ -9,11 +9,15 @@ it.  That is one water level per node, found with sorted running sums.
 
 A leaf with budget b and s tokens gives b div s whole epochs and, from the next
 epoch, the prefix that fits in the rest: every epoch orders the leaf's documents
-by md5(seed, epoch, doc_id).  The prefix is found in two steps, so no task holds
-a whole leaf: token sums of 4,096 slices of the order first, then single
-documents in the one slice where the prefix ends.
-
-Null labels are the label '(none)'; null texts have no tokens; weights that are
+by md5(seed, epoch, doc_id).  The prefix is found step by step, so no task holds
+a whole leaf: token sums of 256 slices of the order, then of 256 slices of the one
+where the prefix ends, then single documents of the one slice that is left.
+Documents meet their leaf's row of the plan by broadcast while the plan is small
+(BROADCAST_ROWS, counted), else by leaf and salt.  Texts are read once: what is
+known of each document, and the plan, are kept in the shared folder.
+
+Null labels are the label '(none)'; null texts have no tokens, very long ones are
+counted like others; rows with null doc_id take part, all at one place of the order; weights that are
 null or not positive shut a node out; repeated rows are separate documents of
 equal place in the order; columns of other names are ignored; an empty table or
 a budget of 0 gives an empty result.
@@ -24,10 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.components import saved
+
 LEVELS = ["domain", "lang", "source"]
 SHARE = 0.6
 MAX_EPOCHS = 4
 SEED = 17
+BROADCAST_ROWS = 50_000  # of at most a few hundred bytes each
+SALTS = 64
 
 
 def count_words(text: Column) -> Column:
@@ -66,25 +74,38 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, str], *, share: floa
     weights: SQL over domain, lang, source for each level (1 where left out).
     """
     label = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), label(domain).alias("domain"), label(F.col("lang")).alias("lang"), label(F.col("source")).alias("source"), count_words(F.col("text")).alias("n_tokens"))
+    rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), label(domain).alias("domain"), label(F.col("lang")).alias("lang"), label(F.col("source")).alias("source"), count_words(F.col("text")).alias("n_tokens")))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
     plan = budgets(leaves, weights, F.floor(F.sum("supply") * share), max_epochs).where("budget > 0")
-    plan = plan.select(*LEVELS, F.expr("budget div supply").alias("whole"), F.expr("budget % supply").alias("rest"))
+    plan = saved(plan.select(*LEVELS, F.expr("budget div supply").alias("whole"), F.expr("budget % supply").alias("rest")))
+    small = plan.count() <= BROADCAST_ROWS
     place = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    dealt = rows.join(plan, LEVELS).withColumn("place", place).withColumn("slice", F.substring("place", 1, 3))
-    slices = dealt.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"))
-    up = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = slices.withColumn("upto", F.sum("n").over(up)).where("upto > rest")
-    ends = ends.groupBy(*LEVELS).agg(F.min("slice").alias("last"), F.min(F.col("upto") - F.col("n")).alias("before"))
-    placed = dealt.join(ends, LEVELS)
-    whole = placed.where("slice < last").withColumn("more", F.lit(1))
-    last = Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.where("slice = last").withColumn("more", F.when(F.sum("n_tokens").over(last) + F.col("before") <= F.col("rest"), 1).otherwise(0))
-    after = placed.where("slice > last and whole > 0").withColumn("more", F.lit(0))
-    out = whole.unionByName(edge).unionByName(after)
+    # the slice of each leaf where its prefix ends: the beginning of its places, and the tokens before it
+    ends = plan.withColumn("slice", F.lit("")).withColumn("before", F.lit(0).cast("long"))
+    for depth in (2, 4):
+        inside = _met(rows, ends, small).withColumn("place", place).where("startswith(place, slice)")
+        sums = inside.groupBy(*LEVELS, "whole", "rest", "before", F.substring("place", 1, depth).alias("slice")).agg(F.sum("n_tokens").alias("n"))
+        # 256 slices at most
+        sums = sums.groupBy(*LEVELS, "whole", "rest", "before").agg(F.sort_array(F.collect_list(F.struct("slice", "n"))).alias("slices"))
+        # slices are passed while their tokens still fit
+        last = F.aggregate("slices", F.struct(F.lit("").alias("slice"), F.col("before").alias("upto"), F.lit(False).alias("done")), lambda a, x: F.when(a["done"], a).when(a["upto"] + x["n"] > F.col("rest"), F.struct(x["slice"].alias("slice"), a["upto"].alias("upto"), F.lit(True).alias("done"))).otherwise(F.struct(a["slice"].alias("slice"), (a["upto"] + x["n"]).alias("upto"), F.lit(False).alias("done"))))
+        ends = saved(sums.select(*LEVELS, "whole", "rest", last.alias("x")).select(*LEVELS, "whole", "rest", F.col("x.slice").alias("slice"), F.col("x.upto").alias("before")))
+    placed = _met(rows, ends, small).withColumn("place", place).withColumn("own", F.substring("place", 1, 4))
+    apart = placed.where("own <> slice").withColumn("more", F.expr("if(own < slice, 1, 0)"))
+    upto = Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = placed.where("own = slice").withColumn("more", F.when(F.sum("n_tokens").over(upto) + F.col("before") <= F.col("rest"), 1).otherwise(0))
+    out = apart.unionByName(edge)
     return out.withColumn("n_copies", (F.col("whole") + F.col("more")).cast("long")).where("n_copies > 0").select("doc_id", *LEVELS, "n_tokens", "n_copies")
 
 
+def _met(rows: DataFrame, leaves: DataFrame, small: bool) -> DataFrame:
+    """rows with the row of leaves (one for each leaf) of their leaf."""
+    if small:
+        return rows.join(F.broadcast(leaves), LEVELS)
+    salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "salt"]).drop("salt")
+
+
 def domain_of_source(source: Column) -> Column:
     """The query's domains: sources by their number, modulo 4."""
     return F.concat(F.lit("d"), (F.try_to_number(F.nullif(F.regexp_extract(source, "[0-9]+$", 0), F.lit("")), F.lit("999999999")) % 4).cast("int").cast("string"))
