@@ -15,9 +15,13 @@ m = u - ceil(threshold * u) + 1.  A document probes the sketches with all its
 shingles; hits are verified by exact containment of the words themselves.  With
 that m the search misses nothing.
 
-Items travel to the executors in blocks of a bounded number of bytes, each block
-against all documents; the documents are never shuffled.  Null texts have no
-words; repeated items (same id and text) count once, repeated documents are
+While the items' texts have ITEM_BYTES or less, their sketches are broadcast and
+documents never shuffled.  Beyond, documents and items meet by join: each item
+under the hashes of its sketch, each document under its distinct hashes, both
+with a hash of their text only; texts come to the pairs that met for the same
+exact check.  Documents are read once for the hashes and once for the check,
+however many items there are.  Null texts have no words; a very long text is one
+row and must fit into a worker's memory; repeated items (same id and text) count once, repeated documents are
 reported each; null ids stay null; extra columns are ignored; empty tables give
 an empty result.
 """
@@ -25,7 +29,6 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -74,6 +77,12 @@ def shingles(text: str | None, k: int = SHINGLE, sizes: frozenset[int] = frozens
     return out.union(b" ".join(words[i : i + m]) for m in sizes for i in range(len(words) - m + 1))
 
 
+def sketch(hashes: np.ndarray, threshold: float) -> np.ndarray:
+    """The least of an item's distinct hashes, as many as its size partition (u / 2, u] needs."""
+    u = 1 << (len(hashes) - 1).bit_length()
+    return hashes[: u - ceil(threshold * u) + 1]
+
+
 class Index:
     """Sketches of a block of items."""
 
@@ -84,11 +93,11 @@ class Index:
         texts = [t.encode() for _, _, t in self.items]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         h, doc = shingle_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets, k)
-        self.sets = [np.unique(h[doc == i]) for i in range(len(self.items))]
+        bounds = np.searchsorted(doc, np.arange(len(self.items) + 1)).tolist()
+        self.sets = [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         keys, owners = [], []
         for i, s in enumerate(self.sets):
-            u = 1 << (len(s) - 1).bit_length()  # the partition of sizes (u / 2, u]
-            keys.append(s[: u - ceil(threshold * u) + 1])
+            keys.append(sketch(s, threshold))
             owners.append(np.full(len(keys[-1]), i))
         keys, owners = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, owners))
         order = np.argsort(keys, kind="stable")
@@ -118,47 +127,94 @@ class Index:
                 yield row, item, shared
 
 
-def _indexes(spark: SparkSession, items: DataFrame, k: int, threshold: float, item_bytes: int, short_inside: bool) -> Iterator[Broadcast]:
-    """Sketches of all items, in blocks of about item_bytes each."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+def _distinct(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+
+
+def _index(items: DataFrame, k: int, threshold: float, item_bytes: int, short_inside: bool) -> Broadcast | None:
+    """Sketches of all items, if their texts have no more than item_bytes."""
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n_blocks = max(1, -(-total // item_bytes))
-    for block in range(n_blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
-        yield spark.sparkContext.broadcast(Index([tuple(r) for r in mine.collect()], k, threshold, short_inside))
+    if total > item_bytes:
+        return None
+    return items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], k, threshold, short_inside))
+
+
+def _short_sizes(items: DataFrame, k: int) -> frozenset[int]:
+    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    return frozenset(r[0] for r in items.select(n.alias("n")).where(f"n > 0 and n < {k}").distinct().collect())  # k - 1 rows at most
+
+
+def _met(docs: DataFrame, items: DataFrame, k: int, threshold: float, short_inside: bool) -> DataFrame:
+    """item_id, n_shared, n_shingles, text of the leaks of many items, each distinct text of docs once."""
+    sizes = _short_sizes(items, k) if short_inside else frozenset()
+
+    def hashed(column: str, sketched: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for piece in slices(b):
+                    h, doc = shingle_hashes(*tx.flat(piece.column(1)), k, frozenset() if sketched else sizes)
+                    bounds = np.searchsorted(doc, np.arange(piece.num_rows + 1)).tolist()
+                    sets = [np.unique(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                    sets = [sketch(s, threshold) if sketched and len(s) else s for s in sets]
+                    own = piece.column(0).to_numpy().repeat([len(s) for s in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.concatenate(sets).view(np.int64), pa.int64())], [column, "key"])
+
+        return run
+
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("doc"), "text").dropDuplicates(["text"])
+    named = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", F.col("text").alias("item_text"))
+    keys = named.select("item", "item_text").mapInArrow(hashed("item", True), "item long, key long")
+    pairs = texts.mapInArrow(hashed("doc", False), "doc long, key long").join(keys, "key").select("doc", "item").distinct()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, before, held = [], None, set()
+            for item, item_text, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if text != before:
+                    before, held = text, shingles(text, k, sizes)
+                own = shingles(item_text, k)
+                if (n := len(own & held)) >= ceil(threshold * len(own) - 1e-9):
+                    rows.append((item, n, len(own), text))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate([pa.int64()] * 3 + [pa.string()])], ["item_id", "n_shared", "n_shingles", "text"])
+
+    return pairs.join(named, "item").join(texts, "doc").select("item_id", "item_text", "text").mapInArrow(check, "item_id long, n_shared long, n_shingles long, text string")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES, short_inside: bool = False) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment of each leak of items (item_id, text) into docs (doc_id, text)."""
     schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
-    for index in _indexes(docs.sparkSession, items, k, threshold, item_bytes, short_inside):
+    cols, items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _distinct(items)
+    index = _index(items, k, threshold, item_bytes, short_inside)
+    if index is None:
+        found = _met(cols, items, k, threshold, short_inside)
+        return cols.join(found, "text").select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            x = index.value
-            for b in batches:
-                for piece in slices(b):
-                    rows = [(piece.column(0)[r].as_py(), x.items[i][0], n, len(x.items[i][1]), n / len(x.items[i][1])) for r, i, n in x.search(piece.column(1))]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate([pa.int64()] * 4 + [pa.float64()])], ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = index.value
+        for b in batches:
+            for piece in slices(b):
+                rows = [(piece.column(0)[r].as_py(), x.items[i][0], n, len(x.items[i][1]), n / len(x.items[i][1])) for r, i, n in x.search(piece.column(1))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate([pa.int64()] * 4 + [pa.float64()])], ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
 
-        found.append(cols.mapInArrow(run, schema))
-    return reduce(DataFrame.unionAll, found)
+    return cols.mapInArrow(run, schema)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES, short_inside: bool = False) -> DataFrame:
     """The rows of docs (text and whatever else) into which no item leaks."""
-    for index in _indexes(docs.sparkSession, items, k, threshold, item_bytes, short_inside):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for piece in slices(b):
-                    keep = np.ones(piece.num_rows, bool)
-                    keep[[r for r, _, _ in index.value.search(piece.column(piece.schema.names.index("text")))]] = False
-                    yield piece.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    items = _distinct(items)
+    index = _index(items, k, threshold, item_bytes, short_inside)
+    if index is None:
+        leaky = _met(docs.select(F.col("text").cast("string").alias("text")), items, k, threshold, short_inside).select("text").distinct()
+        return docs.join(leaky, "text", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in slices(b):
+                keep = np.ones(piece.num_rows, bool)
+                keep[[r for r, _, _ in index.value.search(piece.column(piece.schema.names.index("text")))]] = False
+                yield piece.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
