@@ -35,8 +35,12 @@ def test_decontamination(spark, docs, rows, no_docs):
     for item_bytes in (decontamination.ITEM_BYTES, 200):
         assert {tuple(x) for x in decontamination.find_leaks(docs, table_, item_bytes=item_bytes).collect()} == want
     assert {i for i, *_ in want} >= {7, 105, 106, 103}
-    kept = decontamination.without_leaks(docs, table_)
-    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == set(r) - {i for i, *_ in want}
+    for item_bytes in (decontamination.ITEM_BYTES, 200):
+        kept = decontamination.without_leaks(docs, table_, item_bytes=item_bytes)
+        assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == set(r) - {i for i, *_ in want}
+    # short items inside longer documents, by broadcast and by join
+    both = [{tuple(x) for x in decontamination.find_leaks(docs, table_, item_bytes=n, short_inside=True).collect()} for n in (decontamination.ITEM_BYTES, 200)]
+    assert both[0] == both[1] >= want and {i for i, j, *_ in both[0] if j == 2} == {i for i, t in r.items() if "one" in (t or "").lower().split()}
     assert decontamination.find_leaks(docs, table_.limit(0)).count() == 0 and decontamination.find_leaks(no_docs, table_).count() == 0
 
 
@@ -100,15 +104,29 @@ def test_quality_of_odd_rows(spark, no_docs, odd_docs):
     assert {x.score for x in quality_classifier.score(odd_docs, nothing).collect()} == {0.5}
 
 
-@pytest.mark.parametrize("scale", [False, True])
-def test_nearest_neighbours(spark, scale):
+def test_groups_of_lists():
+    r = np.random.default_rng(0)
+    sizes = np.array([10, 20, 500, 0, 30, 90, 5])
+    first, count = ann_search.groups_of_lists(r.normal(size=(7, 4)), sizes, 100)
+    assert count.tolist() == [1, 1, 5, 1, 1, 1, 1]
+    own = set(range(first[2], first[2] + 5))
+    held = {}
+    for i in (0, 1, 3, 4, 5, 6):
+        assert first[i] not in own
+        held[first[i]] = held.get(first[i], 0) + sizes[i]
+    assert all(n <= 100 for n in held.values()) and own | set(held) == set(range(max(own | set(held)) + 1))
+
+
+@pytest.mark.parametrize("scale, limits", [(False, {}), (True, {}), (True, {"part": 100, "asks": 20})])
+def test_nearest_neighbours(spark, scale, limits):
     r = np.random.default_rng(3)
     x = r.normal(size=(1500, 24)) + 2 * r.normal(size=(12, 24))[r.integers(0, 12, 1500)]
     x *= r.uniform(0.2, 3, (1500, 1)) if scale else 1 / np.linalg.norm(x, axis=1, keepdims=True)
     x[700:1100] = x[700]  # a group of copies
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 24), (2020, [float("nan")] * 24), (2040, [1.0, None] * 12), (2060, [1.0, 2.0]), (None, x[0].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann_search.search(df, df.vec_id % 20 == 0).orderBy("query_id", "rank").toPandas()
+    # other columns with names that the search uses itself
+    df = spark.createDataFrame([(*x, 1, 2, "a", 3.0, [1]) for x in rows], "vec_id long, embedding array<double>, list int, part int, asks string, bound double, v array<int>")
+    got = ann_search.search(df, df.vec_id % 20 == 0, **limits).orderBy("query_id", "rank").toPandas()
     assert sorted(got.query_id.unique()) == list(range(0, 1500, 20)) and (got.groupby("query_id").size() == 20).all()
     hits = 0
     for q, g in got.groupby("query_id"):
