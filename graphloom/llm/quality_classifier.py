@@ -7,7 +7,10 @@ and the mean hidden response over a document's chunks give one probability.
 
 The network is trained on the driver from a bounded sample: about ``sample``
 labelled rows (the documented bound), picked by a hash of doc_id, none of them
-held out.  Only text and label are used.  Rows with null label or doc_id are not
+held out; of texts of up to LEARNED_BYTES, so that what reaches the driver has a
+bound in bytes, too.  Each step learns from whole short documents and from
+TRAIN_CHUNKS chunks, drawn anew, of longer ones; scores always use all chunks.
+Only text and label are used.  Rows with null label or doc_id are not
 learned from.  Null and empty texts are scored as one chunk of padding; repeated
 rows are scored each; extra columns are ignored; with no labelled rows of one of
 the classes every score is the share of label 1 (0.5 if there are none).
@@ -31,6 +34,7 @@ EMBED, FILTERS, HIDDEN = 4, 24, 12
 PAD = 256
 SAMPLE = 3000
 STEPS, BATCH, TRAIN_CHUNKS = 700, 48, 24
+LEARNED_BYTES = 256 << 10
 THRESHOLD = 0.3
 
 
@@ -115,7 +119,7 @@ class Network:
                 slow[k] = 0.9 * slow[k] + 0.1 * g
                 square[k] = 0.99 * square[k] + 0.01 * g * g
                 self.w[k] -= (rate * (slow[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        # the classes were drawn evenly: back to their shares
+        # the classes were drawn evenly: half way back to their shares
         self.w["out"] += np.float32(0.5 * np.log(counts[1] / counts[0]))
         return self
 
@@ -151,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     scale = 1 << 20
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, sample / max(1, total)))).limit(2 * sample)
     # at most twice ``sample`` rows of two numbers: bounded, so it can be broadcast
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").limit(4 * sample).toPandas().sort_values(["doc_id", "quality", "text"])
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LEARNED_BYTES).join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").limit(4 * sample).toPandas().sort_values(["doc_id", "quality", "text"])
     return Network().train([(t or "").encode() for t in got["text"]], got["quality"].to_numpy(np.int64))
 
 

@@ -65,20 +65,20 @@ class _Counter:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = list(set().union(*cut).difference(cache))
         got = dict(zip(fresh, self.encode(fresh), strict=True))
-        cache.update((k, v) for k, v in got.items() if len(k) <= CACHED_CHARS)
-        if len(got) > 0:
-            both = cache | got if any(len(k) > CACHED_CHARS for k in got) else cache
-        else:
-            both = cache
-        look = both.__getitem__
-        return [sum(map(look, x)) for x in cut]
+        cache.update(got)
+        out = [sum(map(cache.__getitem__, x)) for x in cut]
+        for k in got:
+            if len(k) > CACHED_CHARS:
+                del cache[k]
+        return out
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str]]:
+def _slices(texts: list[str | None], sizes: list[int]) -> Iterator[list[str]]:
+    """Texts in groups of about BATCH_BYTES of UTF-8."""
     group, size = [], 0
-    for t in texts:
+    for t, n in zip(texts, sizes, strict=True):
         group.append(t or "")
-        size += len(group[-1])
+        size += n
         if size >= BATCH_BYTES:
             yield group
             group, size = [], 0
@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id
             _Counter.of[vocabulary_path] = _Counter(vocabulary_path)
         counter = _Counter.of[vocabulary_path]
         for b in batches:
-            n = [c for texts in _slices(b.column(2).to_pylist()) for c in counter.counts(texts)]
+            n = [c for texts in _slices(b.column(2).to_pylist(), b.column(1).to_pylist()) for c in counter.counts(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).cast("string").alias("text"))
