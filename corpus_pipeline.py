@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from graphloom.llm import decontamination, jaccard_join, mixing, quality_classifier, substring_dedup
 from graphloom.llm.components import shared_folder
 
-KEPT_SCORE = "_quality_score"
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    scored = quality_classifier.score(docs, quality_classifier.trained(spark, sf_dir), KEPT_SCORE)
-    return scored.where(F.col(KEPT_SCORE) >= quality_classifier.THRESHOLD).drop(KEPT_SCORE)
+    name = "_quality_score"
+    while name in docs.columns:
+        name += "_"
+    scored = quality_classifier.score(docs, quality_classifier.trained(spark, sf_dir), name)
+    return scored.where(F.col(name) >= quality_classifier.THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +61,17 @@ ORACLE_SQL = None  # the trained network can't be said in SQL; tests/llm holds r
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what each keeps is written as Parquet in the shared folder and read again."""
+    """All stages; what each keeps is written as Parquet in the shared folder and read again, and deleted when the next stage is written. The last stage's table stays, as the result reads it."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}.parquet")
         docs = spark.read.parquet(f"{folder}/{i}.parquet")
+        if i:
+            _delete(spark, f"{folder}/{i - 1}.parquet")
     return docs
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
