@@ -3,15 +3,18 @@
 The corpus is a string of words; a suffix starts at each word.  A repeat of at
 least ``k`` words is an internal node of the suffix tree at depth k or more.
 
-* Partition.  A suffix's prefix is the sequence of the classes (CLASSES of them,
-  by hash) of its first words, so all suffixes that begin with the same words
-  share it.  One pass counts prefixes; ``prefix_groups`` lengthens just those
-  prefixes whose suffixes would not fit in memory, so prefixes vary in length; a
-  prefix of DEPTH words with still too many is lengthened to all k words.  Each
-  group holds whole subtrees.
-* Leaves of their own.  A suffix whose first k words no other block has hangs on
-  no node of depth k.  Blocks send short codes of their distinct windows, and
-  only windows whose code another block has, too, go on.
+* Partition.  A suffix of k words is dealt by a prefix of the suffix that starts
+  at its anchor, the least-hashed run of GRAM words among its first k: equal
+  suffixes have equal anchors, and neighbouring ones mostly share theirs, so they
+  stay together and travel as one run of words.  The prefix is the sequence of
+  the classes (CLASSES of them, by hash) of the anchor's first words.  One pass
+  counts prefixes; ``prefix_groups`` lengthens just those prefixes whose suffixes
+  would not fit in memory, so prefixes vary in length; where DEPTH words are
+  still too few, the prefix is all k words of each suffix itself.  Whichever the
+  prefix, suffixes with the same first k words meet in one group.
+* Leaves of their own.  A suffix whose anchor (or, with the longest prefix, whose
+  k words) no other block has hangs on no node of depth k.  Blocks send short
+  codes of these, and only suffixes whose code another block has go on.
 * Subtrees.  Those suffixes travel as words, down to depth k: a block sends each
   distinct one once, as places in a dictionary of the words it uses.  A group
   sorts its suffixes by their words, takes the longest common prefixes of
@@ -47,9 +50,10 @@ from graphloom.llm._blocks import bits, blocked, covered, ids_of, in_order, near
 
 WINDOW = 13
 GROUP_KEYS = 1_000_000
+GRAM = 5  # words of an anchor
 DEPTH = 4  # words in the longest prefix but that of all k
 CLASSES = 16
-CODE_BITS = 28  # of a window within its group
+CODE_BITS = 28  # of an anchor within its group
 
 
 def prefix_groups(counts: np.ndarray, most: int) -> tuple[np.ndarray, int]:
@@ -125,9 +129,9 @@ class SubTree:
 
 
 class _Windows:
-    """The windows (suffixes of k words or more) of one block, and their groups."""
+    """The windows (suffixes of k words or more) of one block, their anchors and their groups."""
 
-    def __init__(self, table: pa.Table, k: int, group: np.ndarray | None = None, share: np.ndarray | None = None):
+    def __init__(self, table: pa.Table, k: int, group: np.ndarray | None = None, share: np.ndarray | None = None, anchored: bool = True):
         self.k = k
         self.buf, offsets = tx.flat(table.column("text"))
         self.ids = ids_of(table)
@@ -137,25 +141,37 @@ class _Windows:
         self.n_words = len(words)
         high = tx.windows(words, k)
         self.at = np.flatnonzero(tx.inside(self.first, len(high), k)) if len(high) else np.zeros(0, np.int64)
-        prefix = np.zeros(len(self.at), np.int64)
-        for j in range(DEPTH):
-            prefix = prefix * CLASSES + (words[self.at + j] >> tx.U64(60)).astype(np.int64)
-        if group is None:
-            self.prefix = prefix
-            return
         self.hash = high[self.at]
-        self.where = group[prefix] + (((self.hash >> tx.U64(40)).astype(np.int64) * share[prefix]) >> 24)
-        self.code = self.hash & tx.U64((1 << CODE_BITS) - 1)
+        if not anchored:
+            return
+        grams = tx.windows(words, GRAM)
+        anchor, least = np.zeros(len(high), np.int64), grams[: len(high)].copy()
+        for j in range(1, k - GRAM + 1):  # the first of the least
+            here = grams[j : j + len(high)]
+            less = here < least
+            least[less], anchor[less] = here[less], j
+        anchor = (np.arange(len(high)) + anchor)[self.at]
+        prefix = np.zeros(len(words), np.int64)
+        for j in range(DEPTH):
+            prefix[: len(words) - j] = prefix[: len(words) - j] * CLASSES + (words[j:] >> tx.U64(60)).astype(np.int64)
+        self.prefix = prefix[anchor]
+        if group is not None:
+            shared = share[self.prefix]
+            self.where = group[self.prefix] + (((self.hash >> tx.U64(40)).astype(np.int64) * shared) >> 24)
+            self.code = np.where(shared > 1, self.hash, least[self.at]) & tx.U64((1 << CODE_BITS) - 1)
 
     def coded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Group and code of the distinct ones in order, and which of them each window has."""
-        order = np.lexsort((self.code, self.where))
-        where, code = self.where[order], self.code[order]
+        head = np.ones(len(self.at), bool)  # neighbours mostly have the same
+        head[1:] = (self.where[1:] != self.where[:-1]) | (self.code[1:] != self.code[:-1])
+        where, code = self.where[head], self.code[head]
+        order = np.lexsort((code, where))
+        where, code = where[order], code[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (where[1:] != where[:-1]) | (code[1:] != code[:-1])
         key = np.empty(len(order), np.int64)
         key[order] = np.cumsum(fresh) - 1
-        return where[fresh], code[fresh], key
+        return where[fresh], code[fresh], key[np.cumsum(head) - 1]
 
     def word_numbers(self) -> np.ndarray:
         """The number of each word of the block, the same for the same bytes only."""
@@ -211,7 +227,7 @@ def _shared_codes(table: pa.Table) -> pa.Table:
 
 
 def _send_suffixes(k: int, group: np.ndarray, share: np.ndarray):
-    """Rows (grp, block, places, dictionary, words) of the distinct suffixes whose code another block has, too."""
+    """Rows (grp, block, runs, dictionary, words) of the distinct suffixes whose code another block has, too: runs of neighbours by first place and number."""
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         block = docs.column("block")[0].as_py()
@@ -225,15 +241,23 @@ def _send_suffixes(k: int, group: np.ndarray, share: np.ndarray):
         numbers = w.word_numbers()
         known = np.array([*w.dictionary, b""], object)
         order, fresh = w.same(numbers, np.flatnonzero(again[key]))
-        some = order[fresh]
-        some = some[np.lexsort((some, w.where[some]))]
+        some = np.sort(order[fresh])
+        at, grp = w.at[some], w.where[some]
+        head = np.ones(len(some), bool)
+        head[1:] = (at[1:] != at[:-1] + 1) | (some[1:] != some[:-1] + 1) | (grp[1:] != grp[:-1])
+        head = np.flatnonzero(head)
+        n = np.diff(np.append(head, len(some)))
+        place, at, grp = some[head], at[head], grp[head]
+        order = np.lexsort((place, grp))
+        place, at, n = place[order], at[order], n[order]
         rows = []
-        for g, a, b in runs(w.where[some]):
-            at = w.at[some[a:b]]
-            used, place = np.unique(numbers[at[:, None] + np.arange(k)], return_inverse=True)
-            place = place.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-            rows.append((g, block, some[a:b].astype(np.uint32).tobytes(), b" ".join(known[used]), place.tobytes()))
-        return _table(rows, ["grp", "block", "places", "dictionary", "words"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+        for g, a, b in runs(grp[order]):
+            size = n[a:b] + k - 1
+            spots = np.repeat(at[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            used, words = np.unique(numbers[spots], return_inverse=True)
+            words = words.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
+            rows.append((g, block, np.stack([place[a:b], n[a:b]], 1).astype(np.uint32).tobytes(), b" ".join(known[used]), words.tobytes()))
+        return _table(rows, ["grp", "block", "runs", "dictionary", "words"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
     return run
 
@@ -244,17 +268,20 @@ def _subtree(k: int, n_null: int):
     def run(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_numpy()
         known: dict[bytes, int] = {}
-        rows, sizes = [], []
-        for d, x in zip(table.column("dictionary"), table.column("words"), strict=True):
+        rows, places = [], []
+        for d, x, r in zip(table.column("dictionary"), table.column("words"), table.column("runs"), strict=True):
             mine = np.fromiter((known.setdefault(w, len(known)) for w in d.as_buffer().to_pybytes().split(b" ")), np.int32)
-            x = x.as_buffer()
-            rows.append(mine[np.frombuffer(x, np.uint16 if len(mine) < 1 << 16 else np.uint32)].reshape(-1, k))
-            sizes.append(len(rows[-1]))
+            text = mine[np.frombuffer(x.as_buffer(), np.uint16 if len(mine) < 1 << 16 else np.uint32)]
+            first, n = np.frombuffer(r.as_buffer(), np.uint32).astype(np.int64).reshape(-1, 2).T
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            size = n + k - 1
+            rows.append(text[(np.repeat(np.cumsum(size) - size, n) + step)[:, None] + np.arange(k)])
+            places.append((np.repeat(first, n) + step).astype(np.uint32))
         # the first blocks hold the rows without doc_id, one document together
         order = np.maximum(blocks - (n_null - 1), 0) if n_null else blocks
-        marked = SubTree(np.concatenate(rows)).later(np.repeat(order, sizes), k)
-        places = [np.frombuffer(x.as_buffer(), np.uint32)[m].tobytes() for x, m in zip(table.column("places"), np.split(marked, np.cumsum(sizes)[:-1]), strict=True)]
-        return _table([x for x in zip(blocks.tolist(), places, strict=True) if x[1]], ["block", "places"], [pa.int32(), pa.binary()])
+        marked = SubTree(np.concatenate(rows)).later(np.repeat(order, [len(x) for x in places]), k)
+        gone = [x[m].tobytes() for x, m in zip(places, np.split(marked, np.cumsum([len(x) for x in places])[:-1]), strict=True)]
+        return _table([x for x in zip(blocks.tolist(), gone, strict=True) if x[1]], ["block", "places"], [pa.int32(), pa.binary()])
 
     return run
 
@@ -266,7 +293,7 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 def _drop(k: int, with_text: bool):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         docs = in_order(docs)
-        w = _Windows(docs, k, np.zeros(CLASSES**DEPTH, np.int64), np.ones(CLASSES**DEPTH, np.int64))
+        w = _Windows(docs, k, anchored=False)
         marked = np.zeros(len(w.at), bool)
         for x in marks.column("places"):
             marked[np.frombuffer(x.as_buffer(), np.uint32)] = True
@@ -302,8 +329,8 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, group_keys: int = GROUP_K
 
     rest: a struct to carry along; then also text, kept (null if nothing goes) and rest.
     """
-    if k < DEPTH:
-        raise ValueError(f"windows of {DEPTH} words or more")
+    if k < GRAM:
+        raise ValueError(f"windows of {GRAM} words or more")
     parts, _, n_null, _ = blocked(docs, *([block_bytes] if block_bytes else []), rest=rest)
     counts = np.zeros(CLASSES**DEPTH, np.int64)
     for prefix, n in parts.select("doc_id", "text").mapInArrow(_count(k), "prefix long, n long").groupBy("prefix").agg(F.sum("n")).collect():
@@ -312,7 +339,7 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, group_keys: int = GROUP_K
     share = np.maximum(1, -(-counts // group_keys))
     sent = parts.groupBy("block").applyInArrow(_send_codes(k, group, share), "grp long, block int, codes binary")
     again = sent.groupBy("grp").applyInArrow(_shared_codes, "grp long, block int, again binary")
-    suffixes = parts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_send_suffixes(k, group, share), "grp long, block int, places binary, dictionary binary, words binary")
+    suffixes = parts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_send_suffixes(k, group, share), "grp long, block int, runs binary, dictionary binary, words binary")
     marks = suffixes.groupBy("grp").applyInArrow(_subtree(k, n_null), "block int, places binary")
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
     if rest is not None:
