@@ -156,12 +156,14 @@ def _cypher(text: str, params: dict) -> Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from graphloom import catalog_code, catalog_views
     from graphloom.catalog_operations import OPERATIONS
 
-    return {k: _cypher(v[0], v[2] if len(v) > 2 else {}) for k, v in CYPHER.items()} | {k: v[0] for k, v in OPERATIONS.items()}
+    return catalog_code.queries() | catalog_views.queries() | {k: _cypher(v[0], v[2] if len(v) > 2 else {}) for k, v in CYPHER.items()} | {k: v[0] for k, v in OPERATIONS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from graphloom import catalog_code, catalog_views
     from graphloom.catalog_operations import OPERATIONS
 
-    return {k: v[1] for k, v in CYPHER.items()} | {k: v[1] for k, v in OPERATIONS.items() if v[1]}
+    return catalog_code.oracle_sql() | catalog_views.oracle_sql() | {k: v[1] for k, v in CYPHER.items()} | {k: v[1] for k, v in OPERATIONS.items() if v[1]}

@@ -14,6 +14,14 @@ Type = T.DataType | None
 _STRING, _LONG, _DOUBLE, _BOOL = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
 
 
+class Missing(T.StringType):
+    """The type of a property that no table has: null, of whatever type is needed beside it."""
+
+    @classmethod
+    def typeName(cls) -> str:
+        return "string"
+
+
 def literal(value: object) -> tuple[Column, Type]:
     if value is None:
         return F.lit(None), T.NullType()
@@ -35,7 +43,7 @@ def literal(value: object) -> tuple[Column, Type]:
 
 def common(types: list[Type]) -> T.DataType:
     """One type for values of several: numbers widen, anything else becomes a string."""
-    kinds = {t.simpleString(): t for t in types if t is not None and not isinstance(t, T.NullType)}
+    kinds = {t.simpleString(): t for t in types if t is not None and not isinstance(t, (T.NullType, Missing))}
     if len(kinds) <= 1:
         return next(iter(kinds.values()), _STRING)
     if all(isinstance(t, T.NumericType) for t in kinds.values()):
@@ -127,7 +135,7 @@ def _integral(f):
 
 
 _NATIVE = {  # passed through to Spark under the same or another name
-    "upper": "upper", "lower": "lower", "instr": "instr", "ifnull": "ifnull", "nullif": "nullif", "printf": "printf", "greatest": "greatest", "least": "least", "date": "to_date", "datetime": "to_timestamp", "concat": "concat", "sign": "sign", "exp": "exp", "log": "ln", "log10": "log10", "sin": "sin", "cos": "cos", "tan": "tan", "asin": "asin", "acos": "acos", "atan": "atan", "atan2": "atan2", "degrees": "degrees", "radians": "radians", "pi": "pi", "levenshtein": "levenshtein", "sha256": "sha2", "md5": "md5",
+    "upper": "upper", "lower": "lower", "instr": "instr", "ifnull": "ifnull", "nullif": "nullif", "printf": "printf", "greatest": "greatest", "least": "least", "date": "to_date", "year": "year", "month": "month", "day": "day", "date_trunc": "date_trunc", "datetime": "to_timestamp", "concat": "concat", "sign": "sign", "exp": "exp", "log": "ln", "log10": "log10", "sin": "sin", "cos": "cos", "tan": "tan", "asin": "asin", "acos": "acos", "atan": "atan", "atan2": "atan2", "degrees": "degrees", "radians": "radians", "pi": "pi", "levenshtein": "levenshtein", "sha256": "sha2", "md5": "md5",
 }
 FUNCTIONS: dict[str, Callable] = {
     "tolower": _same(F.lower), "toupper": _same(F.upper), "trim": _same(F.trim), "ltrim": _same(F.ltrim), "rtrim": _same(F.rtrim),

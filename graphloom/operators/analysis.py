@@ -201,10 +201,12 @@ def implements_closure(inherits: DataFrame, implements: DataFrame, most: int = 8
 
 def resolve_references(references: DataFrame, symbols: DataFrame) -> DataFrame:
     """ref, id: the symbol (id, name, scope) of each reference (ref, name, scope): most leading scope parts in common, then least id."""
-    a, b = F.split("scope", r"\."), F.split("symbol_scope", r"\.")
-    same = F.aggregate(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.get(a, i - 1) == F.get(b, i - 1)), i).otherwise(n))
-    x = references.join(symbols.select("id", "name", F.col("scope").alias("symbol_scope")), "name").withColumn("score", same)
-    return x.groupBy("ref").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
+    # every scope by its own beginnings, the empty one included: one symbol for each name and beginning, met by equality
+    parts = F.split("scope", r"\.")
+    begins = F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), ".").alias("begin"))))
+    best = symbols.select("id", "name", begins.alias("x")).groupBy("name", "x.n", "x.begin").agg(F.min("id").alias("id"))
+    found = references.select("ref", "name", begins.alias("x")).select("ref", "name", "x.n", "x.begin").join(best, ["name", "n", "begin"])
+    return found.groupBy("ref").agg(F.max_by("id", "n").alias("id"))
 
 
 # fixed values: scores of entity matching

@@ -66,3 +66,13 @@ def snippets(sources: DataFrame, ranges: DataFrame) -> DataFrame:
     """path, start, end, text: 1-based lines start to end of sources (path, text)."""
     cut = F.split("text", "\n")
     return ranges.join(sources, "path").select("path", "start", "end", F.array_join(F.slice(cut, F.greatest("start", F.lit(1)), F.greatest(F.least("end", F.size(cut)) - F.greatest("start", F.lit(1)) + 1, F.lit(0))), "\n").alias("text"))
+
+
+def reindexed(nodes: DataFrame, edges: DataFrame, touched: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after some files (file) were read anew: their nodes (id, file) and the edges (src, dst) that start at these give way to the new ones; edges to nodes that are gone go, too."""
+    kept = nodes.join(touched.select("file").distinct(), "file", "left_anti").select(*nodes.columns)
+    out = kept.unionByName(new_nodes.join(kept.select("id"), "id", "left_anti").select(*nodes.columns))
+    old = edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").select(*edges.columns)
+    both = old.unionByName(new_edges.select(*edges.columns)).distinct()
+    ids = out.select("id").distinct()
+    return out, both.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").select(*edges.columns)

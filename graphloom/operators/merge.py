@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SITES = 200
@@ -26,8 +26,11 @@ def merge_edges(sightings: DataFrame, nodes: DataFrame | None = None, most: int
         sightings = sightings.join(ids.toDF("from_id"), "from_id", "left_semi").join(ids.toDF("to_id"), "to_id", "left_semi")
     keys = ["from_id", "to_id", "kind"]
     sites = sightings.groupBy(*keys, "file", "line", "col").agg(F.max("in_loop").alias("in_loop"), F.max("loop_depth").alias("loop_depth"), F.collect_set("operation").alias("ops"))
-    # per site first, so that repeated sightings never gather in one row
-    return sites.groupBy(*keys).agg(F.count("*").alias("call_count"), F.slice(F.sort_array(F.collect_list(F.struct("file", "line", "col"))), 1, most).alias("call_sites"), F.max("in_loop").alias("in_loop"), F.max("loop_depth").alias("loop_depth"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ops")))), ",").alias("operation"), (F.count("*") > most).alias("truncated"))
+    # per site first, so that repeated sightings never gather in one row; only the first sites of a relationship are gathered
+    whole = sites.groupBy(*keys).agg(F.count("*").alias("call_count"), F.max("in_loop").alias("in_loop"), F.max("loop_depth").alias("loop_depth"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ops")))), ",").alias("operation"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("file", "line", "col"))
+    listed = sites.select(*keys, "file", "line", "col").withColumn("r", rank).where(F.col("r") <= most).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("file", "line", "col"))).alias("call_sites"))
+    return whole.join(listed, keys).select(*keys, "call_count", "call_sites", "in_loop", "loop_depth", "operation", (F.col("call_count") > most).alias("truncated"))
 
 
 def delete_below(nodes: DataFrame, edges: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: weights and thresholds of the vectors and of the search
@@ -22,6 +23,17 @@ def words(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(cut, r"[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
 
 
+def split_words(text: str) -> list[str]:
+    """words() of one text."""
+    cut = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text))
+    return re.sub(r"[^A-Za-z0-9]+", " ", cut).lower().split()
+
+
+def indexed(names: DataFrame, name: str = "name") -> DataFrame:
+    """names (id, name) with words, trigrams and vector: write it once, and ``hybrid`` encodes no name again."""
+    return with_vectors(names.withColumn("trigrams", trigrams(F.col(name))), name)
+
+
 def trigrams(name: Column) -> Column:
     low = F.lower(name)
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, 3)))
@@ -91,18 +103,24 @@ def hybrid(index: DataFrame, text: str, k: int = 10, name: str = "name") -> Data
     text is a substring.
     """
     low = text.lower()
-    exact = index.where(F.lower(name) == low).orderBy("id").limit(EXACT_LIMIT).withColumn("score", F.lit(1.0)).select("id", name, "score")
-    if not exact.isEmpty():
-        return exact
     grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-    near = index.withColumn("shared", F.size(F.array_intersect(trigrams(F.col(name)), F.array(*[F.lit(g) for g in grams]) if grams else F.array().cast("array<string>"))))
-    some = near.where("shared > 0").orderBy(F.desc("shared"), "id").limit(TRIGRAM_LIMIT)
-    hit = not some.isEmpty()
-    rows = with_vectors((some if hit else near).select("id", name), name)
-    query = encode(text, rows.sparkSession.range(1).select(words(F.lit(text)).alias("w")).first()["w"])
+    own = F.col("trigrams") if "trigrams" in index.columns else trigrams(F.col(name))
+    shared = F.size(F.array_intersect(own, F.array(*[F.lit(g) for g in grams]) if grams else F.array().cast("array<string>")))
+    # 0 equal names, 1 names with a trigram in common, 2 the others: only the first kind that occurs is looked at
+    kind = F.when(F.lower(name) == low, 0).when(F.col("shared") > 0, 1).otherwise(2)
+    rows = index.withColumn("shared", shared).withColumn("tier", kind)
+    rows = rows.join(F.broadcast(rows.agg(F.min("tier").alias("best"))), F.col("tier") == F.col("best"))  # one row
+    most = F.when(F.col("tier") == 0, EXACT_LIMIT).when(F.col("tier") == 1, TRIGRAM_LIMIT)
+    few = rows.where("tier < 2").orderBy(F.desc("shared"), "id").limit(TRIGRAM_LIMIT)
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("shared"), "id"))).where(F.col("r") <= most).drop("r")
+    rows = few.unionByName(rows.where("tier = 2"))
+    rows = rows if "vector" in index.columns else with_vectors(rows.select("id", name, "tier"), name)
+    query = encode(text, split_words(text))
     score = cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query]))
     score = F.when(F.contains(F.lower(name), F.lit(low)), F.greatest(score, F.lit(SUBSTRING_SCORE))).otherwise(score)
-    return rows.withColumn("score", score).where(F.col("score") >= (MIN_SCORE if hit else MIN_WITHOUT_TRIGRAM)).orderBy(F.desc("score"), "id").limit(k).select("id", name, "score")
+    score = F.when(F.col("tier") == 0, 1.0).otherwise(score)
+    least = F.when(F.col("tier") == 2, MIN_WITHOUT_TRIGRAM).otherwise(MIN_SCORE)
+    return rows.withColumn("score", score).where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(k).select("id", name, "score")
 
 
 def resolve(index: DataFrame, text: str, name: str = "name") -> DataFrame:
@@ -111,7 +129,5 @@ def resolve(index: DataFrame, text: str, name: str = "name") -> DataFrame:
 
 def diversified(scored: DataFrame, concept: str, per: int, k: int) -> DataFrame:
     """The k best rows of scored (id, score): first at most ``per`` of each concept, then the rest."""
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(concept).orderBy(F.desc("score"), "id"))
     return scored.withColumn("later", rank > per).orderBy("later", F.desc("score"), "id").limit(k).drop("later")

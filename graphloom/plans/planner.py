@@ -28,7 +28,7 @@ from graphloom.plans.lexer import QueryError
 from graphloom.plans.parser import parse
 from graphloom.sources.graph import Graph
 
-AGGREGATES = {"count", "collect", "sum", "avg", "min", "max", "stdev", "stdevp"}
+AGGREGATES = {"count", "collect", "sum", "avg", "min", "max", "stdev", "stdevp", "group_concat"}
 _SQL_DISTINCT = {"avg": "avg", "stdev": "stddev", "stdevp": "stddev_pop"}  # those without a function of their own
 _OWN = {"node": ("nid", "id", "kind"), "rel": ("src", "dst", "kind", "src_id", "dst_id")}
 
@@ -225,7 +225,7 @@ class Planner:
         wanted = self.needs[var] | set(more)
         props = self.graph.node_props(kinds)
         own_kind = ["own_kind"] if "own_kind" in props and "kind" in wanted else []
-        props = props if "*" in wanted else [p for p in wanted if p not in ("id", "kind", "properties", "*")] + own_kind
+        props = props if "*" in wanted else [p for p in props if p in wanted and p != "own_kind"] + own_kind
         df = self.graph.scan(kinds, props)
         return df.select(*[F.col(k).alias(f"{var}__{k}") for k in ("nid", "id", "kind")], *[F.col(p).alias(f"{var}__p_{p}") for p in props])
 
@@ -324,7 +324,7 @@ class Planner:
         ends = set()
         for k in kinds:
             e = self.graph.edges[k]
-            ends |= {e.dst_kind} if direction == "out" else {e.src_kind} if direction == "in" else {e.src_kind, e.dst_kind}
+            ends |= (e.kinds(True) if direction != "out" else set()) | (e.kinds(False) if direction != "in" else set())
         return None if None in ends else [k for k in self.graph.nodes if k in ends]
 
     def arrive(self, n: s.NodePattern, at: str, state: State, possible: list[str] | None) -> State:
@@ -448,7 +448,7 @@ class Planner:
     def end_property(self, x: s.Prop, box: list[State]) -> s.Expr:
         state, name, v = box[0], self.name("q"), x.of.args[0].name
         first = x.of.name == "startnode"
-        ends = {self.graph.edges[k].src_kind if first else self.graph.edges[k].dst_kind for k in state.scope[v].kinds}
+        ends = set().union(*(self.graph.edges[k].kinds(first) for k in state.scope[v].kinds))
         kinds = [k for k in self.graph.nodes if None in ends or k in ends]
         own = x.name in self.graph.node_props(kinds)
         scan = self.graph.scan(kinds, [x.name] if own else [])
@@ -622,6 +622,8 @@ class Planner:
             cols = [F.col(f"{arg.name}__nid")] if b.what == "node" else [F.col(f"{arg.name}__src"), F.col(f"{arg.name}__dst"), F.col(f"{arg.name}__kind")]
             return (F.count_distinct(*cols) if x.distinct else F.count(cols[0])), T.LongType()
         col, t = self.value(arg, state)
+        if x.name == "group_concat":
+            return F.array_join(F.array_sort((F.collect_set if x.distinct else F.collect_list)(col.cast("string"))), ","), T.StringType()
         if x.name == "count":
             return (F.count_distinct(col) if x.distinct else F.count(col)), T.LongType()
         if x.name == "collect":
@@ -707,7 +709,7 @@ class Planner:
                 return F.col(f"{v}__{e.name}"), state.df.schema[f"{v}__{e.name}"].dataType
             if e.name == "properties":
                 return F.to_json(self.node_value(v, state.df)["properties"]), T.StringType()
-            return F.lit(None).cast("string"), T.StringType()
+            return F.lit(None).cast("string"), scalars.Missing()
         col, t = self.typed(e.of, state)
         if isinstance(t, T.StructType):
             inner = t["properties"].dataType if "properties" in t.names else None
@@ -930,7 +932,7 @@ class Planner:
                 return F.when(F.col(f"{v}__kind").isNotNull(), F.coalesce(F.concat(one, more), one)), T.ArrayType(T.StringType())
             if e.name == "keys":
                 own = [c for c in state.df.columns if c.startswith(f"{v}__p_")]
-                return F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c[len(v) + 4 :])) for c in own])), T.ArrayType(T.StringType())
+                return F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit("kind" if c.endswith("__p_own_kind") else c[len(v) + 4 :])) for c in own])), T.ArrayType(T.StringType())
             if e.name == "properties":
                 return self.node_value(v, state.df)["properties"], None
         if b and b.what == "rel":
