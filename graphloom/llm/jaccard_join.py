@@ -9,9 +9,11 @@ of ``k``-word shingles is ``percent`` / 100 or more.
    shift a place in the order, which any fixed order allows.
 2. Candidates.  Two sets that link must share one of their first
    n - ceil(t n) + 1 shingles.  Those that occur twice or more meet by shingle;
-   equal sets meet by set and are linked there, and one of them goes on.  Among
-   up to SMALL sets all pairs whose sizes allow a link are candidates; in larger
-   groups each set first meets the least document only.
+   equal sets meet by set and are linked there, and one of them goes on.  The
+   place of the first shared shingle bounds the overlap by what follows it, and so
+   the size of a set that can still link (``reach``); pairs that their sizes and
+   places rule out don't meet there.  Among up to SMALL sets all other pairs are
+   candidates; in larger groups each set first meets the least document only.
 3. Trie join.  The sets of a document's candidates go into a prefix tree
    (``Trie``).  There the shingles are ranked by how many of the tree's sets hold
    them, most first, the other way round than in step 1: sets that are nearly
@@ -20,12 +22,15 @@ of ``k``-word shingles is ``percent`` / 100 or more.
    subtree is left as soon as what remains is too short for any of them to reach
    the overlap it needs.  The result is exact.
 4. Classes.  Links make components (least doc_id reachable).
-5. Large groups.  Where a group of step 2 has members of different components,
-   they are joined with each other as well: the group is dealt in parts of about
-   PART_DOCS sets, each two parts meet in a task of their own, one as a trie and
-   the other as probes, and only members of different components are compared.
-   No link between different classes is lost, and a group of n copies costs n
-   pairs, not n * n.
+5. Large groups.  The members of a group of step 2, but for its least document,
+   are joined with each other as well where that may tell anything new.  By size
+   they fall into spans: where the next larger set is out of the reach of all
+   smaller ones, so are all beyond.  Spans whose members are all of one component are done, and of
+   spans with the same members one is enough.  The others are dealt in parts of
+   about PART_DOCS sets; each two parts meet in a task of their own, one as a
+   trie and the other as probes, and only members of different components are
+   compared.  No link between different classes is lost, and a group of n copies
+   costs n pairs, not n * n.
 
 A text of fewer than k words is one shingle; without words the set is empty and
 links with nothing.  Null texts have no words.  Rows with null doc_id link with
@@ -42,7 +47,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text as tx
@@ -61,6 +66,11 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (-(-percent * n // 100)) + 1
 
 
+def reach(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The largest set that can link with one of n shingles whose first shared one stands at ``place`` (from 0)."""
+    return np.maximum(0, (100 + percent) * (n - place) // percent - n)
+
+
 class _Sets:
     """The shingle sets of one block, each sorted by hash; equal sets of the block once, under the least doc_id."""
 
@@ -131,21 +141,22 @@ def _send_prefixes(k: int, percent: int, width: int, groups: int, parts: int):
         power = power[np.searchsorted(known, codes)]
         first = np.cumsum(s.n) - s.n
         keep = prefix_size(s.n, percent)
-        tokens, docs_of = [], []
+        tokens, docs_of, sizes = [], [], []
         for i, (tokens_of, a, n, p) in enumerate(zip(s.sets, first.tolist(), s.n.tolist(), keep.tolist(), strict=True)):
             mine = power[a : a + n]
             ahead = np.argsort(mine, kind="stable")[:p]
-            ahead = ahead[mine[ahead] > 0]
-            tokens.append(tokens_of[ahead])
-            docs_of.append(np.full(len(ahead), i))
+            place = np.flatnonzero(mine[ahead] > 0)
+            tokens.append(tokens_of[ahead[place]])
+            docs_of.append(np.full(len(place), i))
+            sizes.append(n | reach(np.full(len(place), n), place, percent) << 32)
         rows = []
         digest, ids = np.array(s.digest, np.uint64), np.array(s.ids, np.int64)
-        for base, t, d in ((0, tokens, docs_of), (parts, [digest], [np.arange(len(ids))])):
-            t, d = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (t, d))
+        for base, t, d, size in ((0, tokens, docs_of, sizes), (parts, [digest], [np.arange(len(ids))], [s.n])):
+            t, d, size = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (t, d, size))
             order = np.argsort(t, kind="stable")
-            t, d = t[order], d[order].astype(np.int64)
+            t, d, size = t[order], d[order].astype(np.int64), size[order].astype(np.int64)
             for g, a, b in _grouped(t >> np.uint64(24), 40, parts):
-                table = np.stack([ids[d[a:b]].view(np.uint64), digest[d[a:b]], s.n[d[a:b]].view(np.uint64)])
+                table = np.stack([ids[d[a:b]].view(np.uint64), digest[d[a:b]], size[a:b].view(np.uint64)])
                 rows.append((base + g, block, pack(t[a:b]), table.tobytes()))
         rows += [(-1, block, b"", np.array(s.equal, np.int64).tobytes())] if s.equal else []
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["grp", "block", "tokens", "docs"])
@@ -178,9 +189,10 @@ def _meet(percent: int, parts: int, small: int):
         token, ids, n = token[new], ids[new], n[new]
         order = np.lexsort((ids, token))
         token, ids, n = token[order], ids[order], n[order]
+        packed, far, n = n, n >> 32, n & 0xFFFFFFFF
         head = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(token)))
-        fits = lambda x, y: 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        fits = lambda x, y: (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (n[x] <= far[y]) & (n[y] <= far[x])
         pairs = [np.zeros((0, 2), np.int64)]
         for m in range(2, small + 1):
             at = head[size == m]
@@ -190,7 +202,9 @@ def _meet(percent: int, parts: int, small: int):
                     pairs.append(np.stack([ids[at + j], ids[at + i]], 1)[ok])
         big = [table(2, x[:0], x[:0], x[:0], x[:0]) for x in (ids,)]
         for a, m in zip(head[size > small].tolist(), size[size > small].tolist(), strict=True):
-            big.append(table(2, ids[a : a + m], ids[a : a + m], n[a : a + m], np.full(m, token[a]).view(np.int64)))
+            # the least document meets all whose sizes allow a link here
+            others = slice(a + 1, a + m)
+            big.append(table(2, ids[others], ids[others], packed[others], np.full(m - 1, token[a]).view(np.int64)))
             left = np.arange(a, a + m)
             for c in range(a, a + min(m, small)):
                 ok = fits(left, c) & (ids[left] > ids[c])
@@ -210,13 +224,15 @@ class _Node(NamedTuple):
     most: int
     ends: list[int]  # sets that end here
     below: list[_Node]
+    only: int | None  # the class of all sets below, if it is one
 
 
 class Trie:
     """Sets as a path-compressed prefix tree. looked, cut: edges walked and subtrees left since it was made."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], classes: list[int] | None = None):
         self.looked = self.cut = 0
+        classes = classes if classes is not None else list(range(len(sets)))
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
         self.tokens, place, count = np.unique(flat, return_inverse=True, return_counts=True)
         self.rank = np.empty(len(self.tokens), np.int64)
@@ -240,17 +256,21 @@ class Trie:
                 end = min(shared[x + 1 : y], default=len(self.paths[order[x]]))
                 sizes = [len(self.paths[i]) for i in order[x:y]]
                 ends = [i for i, n in zip(order[x:y], sizes, strict=True) if n == end]
-                node = _Node(order[x], depth, end, min(sizes), max(sizes), ends, [])
+                of = {classes[i] for i in order[x:y]}
+                node = _Node(order[x], depth, end, min(sizes), max(sizes), ends, [], of.pop() if len(of) == 1 else None)
                 siblings.append(node)
                 if len(ends) < y - x:
                     todo.append((x + len(ends), y, end, node.below))
 
-    def search(self, probe: np.ndarray, percent: int) -> list[int]:
-        """Indexes of the sets that link with probe (sorted)."""
-        held = np.zeros(len(self.tokens), np.int64)
-        held[self.rank[np.isin(self.tokens, probe, assume_unique=True)]] = 1
+    def search(self, probe: np.ndarray, percent: int, but: int | None = None) -> list[int]:
+        """Indexes of the sets that link with probe (sorted); those of the class ``but`` are of no interest."""
+        stack = [(node, 0) for node in self.roots if but is None or node.only != but]
+        if not stack:
+            return []
+        at = np.minimum(np.searchsorted(self.tokens, probe), len(self.tokens) - 1)
+        held = np.zeros(len(self.tokens), np.int8)
+        held[self.rank[at[self.tokens[at] == probe]]] = 1
         size, out = len(probe), []
-        stack = [(node, 0) for node in self.roots]
         while stack:
             node, overlap = stack.pop()
             depth, path = node.start, self.paths[node.at]
@@ -263,7 +283,7 @@ class Trie:
                 continue
             if node.ends and 100 * overlap >= percent * (size + node.end - overlap):
                 out += node.ends
-            stack += [(x, overlap) for x in node.below]
+            stack += [(x, overlap) for x in node.below if but is None or x.only != but]
         return out
 
     @staticmethod
@@ -298,8 +318,8 @@ def _joined(percent: int):
         sets = [unpack(x.as_buffer().to_pybytes()) for x in table.column("tokens")]
         below = [i for i, x in enumerate(side) if x == 0]
         probes = [i for i, x in enumerate(side) if x == 1] or below
-        trie = Trie([sets[i] for i in below])
-        found = {(docs[below[j]], docs[i]) for i in probes for j in trie.search(sets[i], percent) if classes_[below[j]] != classes_[i]}
+        trie = Trie([sets[i] for i in below], [classes_[i] for i in below])
+        found = {(docs[below[j]], docs[i]) for i in probes for j in trie.search(sets[i], percent, classes_[i]) if classes_[below[j]] != classes_[i]}
         return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -324,14 +344,30 @@ def _verified(parts: DataFrame, block_of, pairs: DataFrame, k: int, percent: int
     return _linked(parts, block_of, below.unionByName(probes), k, percent)
 
 
+def _spans_apart(members: DataFrame, percent: int) -> DataFrame:
+    """token, span, doc, class of the members (token, doc, n, far, class) of spans with several classes; of spans with the same members only one."""
+    # a row for each size of a group
+    sizes = members.groupBy("token", "n").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("far").alias("far"))
+    up = Window.partitionBy("token").orderBy("n")
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("far").over(before) >= F.col("n"), F.lit(False)) & F.coalesce(F.lag("n").over(up) * 100 >= F.col("n") * percent, F.lit(False))
+    sizes = sizes.withColumn("new", (~reached).cast("int")).withColumn("span", F.sum("new").over(up))
+    # sets of one size need to reach each other, sets of several sizes a larger one
+    mixed = sizes.groupBy("token", "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("far").alias("far")).where("lo <> hi and (least < most or far >= least)").select("token", "span", "least")
+    rest = members.join(sizes.select("token", "n", "span").join(mixed, ["token", "span"]), ["token", "n"]).where("far >= least").select("token", "span", "doc", "class")
+    held = rest.groupBy("token", "span").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("y"))
+    once = held.groupBy("m", "x", "y").agg(F.min(F.struct("token", "span")).alias("s")).select("s.token", "s.span")
+    return rest.join(once, ["token", "span"])
+
+
 def _linked_in_groups(parts: DataFrame, block_of, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between members (token, doc, class) of a group that are in different classes, part against part."""
+    """Links between members (token, span, doc, class) of a span that are in different classes, part against part."""
     n = F.greatest(F.lit(1), F.expr(f"m div {PART_DOCS}"))
-    many = members.groupBy("token").agg(F.count("*").alias("m")).select("token", n.alias("n"))
-    dealt = members.join(many, "token").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("n")))
+    many = members.groupBy("token", "span").agg(F.count("*").alias("m")).select("token", "span", n.alias("n"))
+    dealt = members.join(many, ["token", "span"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("n")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     # places are hashes: if two ever coincide, more sets than needed are compared
-    place = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))
+    place = F.xxhash64("token", "span", F.least("part", "other"), F.greatest("part", "other"))
     return _linked(parts, block_of, met.select(place.alias("at"), F.lit(0).alias("salt"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "doc", "class"), k, percent)
 
 
@@ -365,12 +401,12 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block_byt
     links = saved(_verified(parts, block_of, pairs, k, percent).unionByName(met.where("kind = 1").select("a", "b")).distinct())
     _release(docs.sparkSession)
     labels = components(links)
-    members = met.where("kind = 2").select("token", F.col("a").alias("doc"))
+    members = met.where("kind = 2").select("token", F.col("a").alias("doc"), F.expr("n_a & 4294967295").alias("n"), F.expr("shiftright(n_a, 32)").alias("far")).distinct()
     if members.isEmpty():
         return labels
-    classed = members.join(labels.withColumnRenamed("doc_id", "doc"), "doc", "left").select("token", "doc", F.coalesce("component_id", "doc").alias("class"))
-    mixed = classed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
-    rest = saved(classed.join(mixed, "token", "left_semi"))
+    classed = saved(members.join(labels.withColumnRenamed("doc_id", "doc"), "doc", "left").select("token", "doc", "n", "far", F.coalesce("component_id", "doc").alias("class")))
+    rest = saved(_spans_apart(classed, percent))
+    _release(docs.sparkSession)
     if rest.isEmpty():
         return labels
     more = saved(_linked_in_groups(parts, block_of, rest, k, percent).distinct())

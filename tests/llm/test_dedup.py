@@ -297,6 +297,24 @@ def test_trie_shares_beginnings_and_leaves_subtrees():
     assert trie.cut == 1 and trie.looked == 2 + 100
 
 
+def test_reach_leaves_no_link_out():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        percent = int(r.choice([50, 80, 95]))
+        a = np.sort(r.choice(60, int(r.integers(1, 30)), replace=False))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.9], r.choice(60, int(r.integers(0, 4)))]))
+        both = np.intersect1d(a, b)
+        if len(both) and link(a, b, percent):
+            i, j = int(np.searchsorted(a, both[0])), int(np.searchsorted(b, both[0]))
+            assert len(b) <= jaccard_join.reach(np.array([len(a)]), np.array([i]), percent)[0] and len(a) <= jaccard_join.reach(np.array([len(b)]), np.array([j]), percent)[0]
+
+
+def test_trie_leaves_out_a_class():
+    sets = [np.arange(10, dtype=np.uint64), np.arange(11, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64), np.arange(50, 60, dtype=np.uint64)]
+    trie = jaccard_join.Trie(sets, [5, 5, 7, 5])
+    assert sorted(trie.search(sets[0], 80)) == [0, 1, 2] and 2 in trie.search(sets[0], 80, 5) and trie.search(sets[3], 80, 5) == []
+
+
 def test_jaccard_of_large_groups(spark):
     """A third of the documents share their beginning without linking; copies and chains hide among them."""
     r = np.random.default_rng(6)
