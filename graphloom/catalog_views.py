@@ -424,6 +424,7 @@ LANGUAGE: dict[str, tuple] = {
     "A20_group_concat": ("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN r.r_name AS r, group_concat(DISTINCT left(n.n_name, 1)) AS firsts", "SELECT r_name AS r, string_agg(DISTINCT left(n_name, 1), ',' ORDER BY left(n_name, 1)) AS firsts FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
     "O05_paging": ("MATCH (p:Part) RETURN p.p_partkey AS k ORDER BY k DESC SKIP $skip LIMIT $limit", "SELECT p_partkey AS k FROM part ORDER BY k DESC LIMIT 20 OFFSET 40", {"skip": 40, "limit": 20}),
     "L03_lists": ("MATCH (r:Region) RETURN [r.r_regionkey, 2, 3][0] AS a, size([[1, 2], [3]]) AS b, [r.r_name, 'x'][1] AS c", "SELECT r_regionkey::BIGINT AS a, 2::BIGINT AS b, 'x' AS c FROM region"),
+    "L17_list_and_text": ("MATCH (r:Region) WHERE r.tags = [] OR r.r_name = [] OR r.r_regionkey = 1 RETURN r.r_name AS n", "SELECT r_name AS n FROM region WHERE r_regionkey = 1"),
     "L10_head_last": ("MATCH (r:Region) WITH split(r.r_name, 'A') AS l RETURN head(l) AS h, last(l) AS t", "SELECT string_split(r_name, 'A')[1] AS h, string_split(r_name, 'A')[-1] AS t FROM region"),
     "L16_map_literal": ("MATCH (r:Region) WITH {a: r.r_name, b: {c: r.r_regionkey}} AS m RETURN m.a AS a, m.b.c AS c", "SELECT r_name AS a, r_regionkey AS c FROM region"),
     "F08_length": ("MATCH (r:Region) RETURN r.r_name AS r, length(r.r_name) AS n", "SELECT r_name AS r, length(r_name) AS n FROM region"),

@@ -811,8 +811,8 @@ class Planner:
             a = a.try_cast("double")
         elif isinstance(tb, T.StringType) and isinstance(ta, T.NumericType):
             b = b.try_cast("double")
-        elif scalars.is_list(ta) and scalars.is_list(tb):
-            a, b = F.to_json(a), F.to_json(b)
+        elif scalars.is_list(ta) or scalars.is_list(tb):
+            a, b = (F.to_json(c) if scalars.is_list(t) else c.cast("string") for c, t in ((a, ta), (b, tb)))
         elif isinstance(tb, T.StringType) and isinstance(ta, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             b = b.try_cast(ta)
         return {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]

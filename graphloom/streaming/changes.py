@@ -70,12 +70,19 @@ def watch(spark: SparkSession, listings: str, registry: str, checkpoint: str, si
 
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour", key: str = "event_type", value: str = "value", time: str = "ts") -> DataFrame:
     """key, start, end, n, total of events by tumbling (or, with slide, sliding) event-time windows; a stream drops what is later than ``late``. Beyond the reference."""
-    events = events.withWatermark(time, late) if events.isStreaming else events
+    kind = events.schema[time].dataType
+    events = _watermarked(events, time, late)
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    return events.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+    return events.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(key, F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), "n", "total")
+
+
+def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with a watermark, which takes times with a zone only."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
 
 
 def sessions(events: DataFrame, gap: str, late: str = "1 hour", key: str = "user_id", time: str = "ts") -> DataFrame:
     """key, start, end, n of sessions: events of a key that are less than ``gap`` apart. Beyond the reference."""
-    events = events.withWatermark(time, late) if events.isStreaming else events
-    return events.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    kind = events.schema[time].dataType
+    events = _watermarked(events, time, late)
+    return events.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), "n")
