@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from itertools import count
+from itertools import count, takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,9 +123,16 @@ class Planner:
         return out
 
     def arm(self, clauses: tuple, state: State) -> State:
-        for c in clauses:
-            if isinstance(c, s.Match):
-                state = self.optional(c, state) if c.optional else self.match(c, state)
+        passed = 0
+        for i, c in enumerate(clauses):
+            if i < passed:
+                continue
+            if isinstance(c, s.Match) and c.optional:
+                run = tuple(takewhile(lambda x: isinstance(x, s.Match) and x.optional, clauses[i:]))
+                passed = i + len(run)
+                state = self.optionals(run, clauses[passed] if passed < len(clauses) else None, state)
+            elif isinstance(c, s.Match):
+                state = self.match(c, state)
             elif isinstance(c, s.Unwind):
                 state = self.unwind(c, state)
             elif isinstance(c, s.CallQuery):
@@ -199,7 +206,62 @@ class Planner:
             state = self.pattern(p, state)
         return self.where(c.where, state) if c.where is not None else state
 
-    def optional(self, c: s.Match, state: State) -> State:
+    def optionals(self, run: tuple[s.Match, ...], after, state: State) -> State:
+        """Optional matches that follow each other, and the clause after them.
+
+        Where that clause doesn't tell repeated rows apart and uses a match only
+        behind others in a coalesce, it is matched after those, and only where they
+        are null: otherwise the matches of a node would multiply.
+        """
+        used = [self.named(c) | {p.path for p in c.patterns if p.path} for c in run]
+        first: list[tuple[s.Expr, ...]] = [()] * len(run)
+        if len(run) > 1 and self.like_set(after):
+            for i, u in enumerate(used):
+                own = u - set(state.scope)
+                if own < u and not any(own & x for j, x in enumerate(used) if j != i):
+                    first[i] = self.before(own, after)
+        left = list(range(len(run)))
+        while left:
+            ready = [i for i in left if self.named(first[i]) <= set(state.scope)]
+            i = ready[0] if ready else left[0]
+            left.remove(i)
+            state = self.optional(run[i], state, first[i] if ready else ())
+        return state
+
+    def named(self, *xs) -> set[str]:
+        return self.variables(xs) | {x.var for x in s.walk(xs) if isinstance(x, s.Projection)}
+
+    def like_set(self, c) -> bool:
+        """Whether repeated rows leave the result of a clause as it is."""
+        if not isinstance(c, s.Project) or c.star:
+            return False
+        parts = list(s.walk((c.items, c.order)))
+        if any(isinstance(x, (s.PatternExpr, s.PatternList, s.Subquery)) or isinstance(x, s.Call) and x.name == "rand" for x in parts):
+            return False
+        calls = [x for x in parts if self.is_aggregate(x)]
+        return all(x.distinct or x.name in ("min", "max") for x in calls) if calls else c.distinct
+
+    def before(self, own: set[str], c: s.Project) -> tuple[s.Expr, ...]:
+        """The properties that stand before own variables in coalesce, if a clause uses these nowhere else and always behind the same ones."""
+        found = set()
+
+        def look(x) -> None:
+            if not self.named(x) & own:
+                return
+            if isinstance(x, s.Call) and x.name == "coalesce" and not any(self.is_aggregate(y) for y in s.walk(x)):
+                head = tuple(takewhile(lambda a: isinstance(a, s.Prop) and isinstance(a.of, s.Var) and a.of.name not in own, x.args))
+                found.add(head)
+            elif isinstance(x, (s.Var, s.Projection, s.Comprehension, s.Quantifier, s.Reduce)):
+                found.add(())
+            else:
+                for y in x if isinstance(x, tuple) else x.__dict__.values():
+                    look(y)
+
+        look((c.items, c.order))
+        return found.pop() if len(found) == 1 else ()
+
+    def optional(self, c: s.Match, state: State, first: tuple[s.Expr, ...] = ()) -> State:
+        """first: rows where any of these is not null stay without a match."""
         if state.df is None:
             state = self.one_row(state)
         used = [v for v in state.scope if v in self.variables(c.patterns, c.where)]
@@ -218,7 +280,16 @@ class Planner:
         inner = self.match(c, inner)
         new = {v: b for v, b in inner.scope.items() if v not in state.scope}
         cols = [x for v in new for x in columns_of(inner.df, v)]
-        df = self.back(state.df, keys, inner.df.select(*[b for _, b in keys], *cols), "left")
+        if not first:
+            df = self.back(state.df, keys, inner.df.select(*[b for _, b in keys], *cols), "left")
+            return State(df, state.scope | new, state.anchors)
+        # a key of 0 on the inner side, which must not look constant; rows that need no match are spread over other keys
+        here, there, taken = self.name("f"), self.name("f"), [self.expr(e, state)[0] for e in first]
+        free = reduce(lambda a, b: a & b, [x.isNull() for x in taken])
+        outer = state.df.withColumn(here, F.when(free, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*[x.cast("string") for x in taken]), F.lit(1 << 40)) + 1))
+        inner_df = inner.df.withColumn(there, F.pmod(F.xxhash64(*[b for _, b in keys]), F.lit(1).cast("long")))
+        keys = [*keys, (here, there)]
+        df = self.back(outer, keys, inner_df.select(*[b for _, b in keys], *cols), "left").drop(here)
         return State(df, state.scope | new, state.anchors)
 
     def scan(self, var: str, kinds: list[str], more: tuple[str, ...] = ()) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from graphloom.plans import syntax as s
 from graphloom.plans.lexer import QueryError
 from graphloom.plans.parser import parse
-from graphloom.plans.planner import run
+from graphloom.plans.planner import Planner, run
 from graphloom.sources.graph import from_frames
 from graphloom.sources.named import NamedQueries, execute, render
 
@@ -74,6 +74,32 @@ def test_unknown_names_are_errors(small):
             run(small, text).collect()
 
 
+def test_optional_matches_behind_others_do_not_multiply(spark, monkeypatch):
+    # reads: 30 named users; old: 20 former ones; t1 has both, t2 an unnamed user too, t3 former ones only, t4 entities, t5 nothing
+    reads = [(t, f"u{i}") for t in ("t1", "t2") for i in range(30)] + [("t2", "u-"), ("t4", "u1")]
+    old = [(t, f"o{i}") for t in ("t1", "t2", "t3", "t4") for i in range(20)]
+    types = [("t4", "e1"), ("t4", "e2"), ("t4", "e-")]
+    ids = {k: sorted({x for _, x in v}) for k, v in (("User", reads + old), ("Entity", types))} | {"Table": [f"t{i}" for i in range(1, 6)]}
+    nodes = spark.createDataFrame([(x, k, "{}" if x.endswith("-") else f'{{"name":"{x}"}}') for k, v in ids.items() for x in v], "id string, kind string, properties string")
+    edges = [(u, t, "READS") for t, u in reads] + [(t, u, "OLD") for t, u in old] + [(t, e, "MADE") for t, e in types]
+    g = from_frames(nodes, spark.createDataFrame([(*e, "{}") for e in edges], "from_id string, to_id string, kind string, properties string"))
+    near = lambda pairs, t: [None if x.endswith("-") else x for k, x in pairs if k == t] or [None]
+    product = [(t, e, u, o) for t in ids["Table"] for u in near(reads, t) for o in near(old, t) for e in near(types, t)]
+    want = {}
+    for t, e, u, o in product:
+        want.setdefault(t, set()).update({e or u or o} - {None})
+    counts = []
+    project = Planner.project
+    monkeypatch.setattr(Planner, "project", lambda self, c, state: (counts.append(state.df.count()), project(self, c, state))[1])
+    text = "MATCH (t:Table) OPTIONAL MATCH (t)<-[:READS]-(u:User) OPTIONAL MATCH (t)-[:OLD]->(o:User) OPTIONAL MATCH (t)-[:MADE]->(e:Entity) RETURN t.name AS t, "
+    assert {r.t: set(r.x) for r in run(g, text + "collect(DISTINCT coalesce(e.name, u.name, o.name)) AS x").collect()} == want
+    assert counts.pop() == 30 + (30 + 20) + 20 + 3 + 1
+    # what repeated rows change, or what is used elsewhere too, takes every match
+    assert {r.t: r.n for r in run(g, text + "count(coalesce(e.name, u.name, o.name)) AS n").collect()} == {t: sum(x[0] == t and any(x[1:]) for x in product) for t in want}
+    assert counts.pop() == len(product)
+    assert {r.t: (set(r.x), r.n) for r in run(g, text + "collect(DISTINCT coalesce(e.name, u.name, o.name)) AS x, count(DISTINCT o) AS n").collect()} == {t: (x, 0 if t == "t5" else 20) for t, x in want.items()}
+
+
 def test_named_queries_and_renderings(small, tmp_path):
     names = NamedQueries(str(tmp_path))
     names.save("files", "MATCH (f:File) RETURN f.name AS name ORDER BY name")
