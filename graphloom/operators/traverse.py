@@ -137,11 +137,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.withColumn("size", F.count("*").over(Window.partitionBy("component")))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """node, n_in, n_out: distinct neighbours, loops left out."""
-    e = edges.select("src", "dst").where("src <> dst").distinct()
-    both = e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("dst", F.lit(0), F.lit(1)))
-    return both.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+def degrees(edges: DataFrame, apart: bool = False) -> DataFrame:
+    """node, n_in, n_out: distinct neighbours, loops left out.
+
+    apart: sources and targets are nodes of two kinds, so an id on both sides is two
+    nodes with a row each and there are no loops; null is a node, but no neighbour.
+    """
+    e = edges.select("src", "dst")
+    e = (e if apart else e.where("src <> dst")).distinct()
+    out = e.select(F.col("src").alias("node"), F.lit("src").alias("side"), F.col("dst").isNotNull().cast("int").alias("o"), F.lit(0).alias("i"))
+    both = out.union(e.select("dst", F.lit("dst"), F.lit(0), F.col("src").isNotNull().cast("int")))
+    return both.groupBy("node", *(["side"] if apart else [])).agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out")).select("node", "n_in", "n_out")
 
 
 def tiers(nodes: DataFrame, edges: DataFrame, ingress: DataFrame, presets: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,5 @@
 import pytest
-from compare import SF, rows
+from compare import SF, rows, sql_rows
 from pyspark.sql import functions as F
 
 from graphloom import catalog
@@ -94,3 +94,13 @@ def test_all_parts_are_targets_entries_and_ends(spark):
     assert {(i, k) for _, _, i, k in answers(spark, "N02_test_coverage_all")} == {(i, len(reach.get(i, ()))) for i in after}
     percent = answers(spark, "N02_coverage_percent_all")
     assert sum(x[0] for x in percent) == n and sum(x[1] for x in percent) == len(parts & set(reach))
+
+
+def test_degrees_keep_parts_and_suppliers_of_one_number_apart(spark, duck, tmp_path):
+    # part 1000001 and supplier 1 have one number, and are neighbours; ends can be missing
+    pairs = [(1_000_001, 1), (1_000_001, 2), (1_000_001, 2), (7, 1), (1_000_002, 1_000), (None, 2), (8, None), (None, None)]
+    spark.createDataFrame(pairs, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sql = catalog.oracle_sql()["N22_degrees"].replace("lineitem", f"'{tmp_path}/lineitem.parquet/*.parquet'")
+    assert rows(catalog.queries()["N22_degrees"](spark, str(tmp_path))) == sql_rows(duck, sql)
+    df = spark.createDataFrame([(1, 2), (2, 1), (2, 2), (3, 3), (1, None)], "src long, dst long")
+    assert rows(traverse.degrees(df)) == (["n_in", "n_out", "node"], [(1, 1, 1), (1, 1, 2)])
