@@ -9,6 +9,7 @@ frequent key therefore costs one entry per block, never one per occurrence.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -130,6 +131,44 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, step)
 
 
+def pieces(offsets: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """The documents of a flat column as ranges (from, to) of about ``most`` bytes, whole documents each; one range at least."""
+    n = len(offsets) - 1
+    cuts = np.unique(np.searchsorted(offsets[:-1], np.arange(0, int(offsets[-1]) + 1, most))).tolist()
+    cuts = [c for c in cuts if 0 < c < n]
+    return list(zip([0, *cuts], [*cuts, n], strict=True))
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the system; else it keeps the most that any group needed for as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f on a group, which leaves no freed memory with the worker."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        give_back()
+        return out
+
+    return run
+
+
+def lean_two(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """As ``lean``, on cogroups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Sorted uint64 keys as differences of as many bytes as the largest needs."""
     if not len(keys):

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import _text as tx
-from graphloom.llm._blocks import blocked, in_order, pack, runs, slices, unpack
+from graphloom.llm._blocks import blocked, in_order, lean, lean_two, pack, pieces, runs, slices, unpack
 from graphloom.llm.components import components, saved
 from graphloom.llm.decontamination import shingle_hashes
 
@@ -80,9 +80,12 @@ class _Sets:
         if only is not None:
             keep = np.flatnonzero(np.isin(ids, only))
             table, ids = table.take(keep), ids[keep]
-        h, doc = shingle_hashes(*tx.flat(table.column("text")), k)
-        bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
-        sets = [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        buf, offsets = tx.flat(table.column("text"))
+        sets = []
+        for x, y in pieces(offsets):  # what is only needed on the way stays small
+            h, doc = shingle_hashes(buf[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], k)
+            bounds = np.searchsorted(doc, np.arange(y - x + 1))
+            sets += [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         self.sets, self.ids, self.digest, self.equal = [], [], [], []
         seen: dict[tuple[int, int], int] = {}
         for i, s in zip(ids.tolist(), sets, strict=True):
@@ -121,10 +124,17 @@ def _send_codes(k: int, width: int, groups: int):
 def _frequency(table: pa.Table) -> pa.Table:
     """For each block, the power of two of the document frequency of each of its codes."""
     codes = [unpack(x.as_buffer().to_pybytes()) for x in table.column("codes")]
+    cuts = np.cumsum([len(c) for c in codes])[:-1]
+    codes = np.concatenate(codes)
     n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("n")])
-    inverse = np.unique(np.concatenate(codes), return_inverse=True)[1]
-    power = np.log2(np.bincount(inverse, n)).astype(np.uint8)[inverse]
-    out = [x.tobytes() for x in np.split(power, np.cumsum([len(c) for c in codes])[:-1])]
+    order = np.argsort(codes)
+    codes = codes[order]
+    head = np.flatnonzero(np.append(np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]))
+    del codes
+    power = np.empty(len(order), np.uint8)
+    if len(head):
+        power[order] = np.repeat(np.log2(np.add.reduceat(n[order], head, dtype=np.int64)).astype(np.uint8), np.diff(np.append(head, len(order))))
+    out = [x.tobytes() for x in np.split(power, cuts)]
     return pa.table([table.column("grp").cast(pa.int64()), table.column("block").cast(pa.int32()), pa.array(out, pa.binary())], names=["grp", "block", "power"])
 
 
@@ -331,7 +341,7 @@ PART_DOCS = 256
 
 def _linked(parts: DataFrame, block_of, asks: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) among the documents that meet: asks has at, salt (the place), side, doc, class."""
-    sets = parts.groupBy("block").cogroup(asks.withColumn("block", block_of("doc")).groupBy("block")).applyInArrow(_send_sets(k), "at long, salt int, side int, doc long, class long, tokens binary")
+    sets = parts.groupBy("block").cogroup(asks.withColumn("block", block_of("doc")).groupBy("block")).applyInArrow(lean_two(_send_sets(k)), "at long, salt int, side int, doc long, class long, tokens binary")
     return sets.groupBy("at", "salt").applyInArrow(_joined(percent), "a long, b long")
 
 
@@ -392,9 +402,9 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block_byt
     width = min(64, max(24, (total // 4 + 1).bit_length() + 8))
     groups = max(1, -(-total // (6 * GROUP_KEYS)))
     few = max(1, -(-total // (40 * GROUP_KEYS)))
-    codes = parts.groupBy("block").applyInArrow(_send_codes(k, width, groups), "grp long, block int, codes binary, n binary")
-    powers = codes.groupBy("grp").applyInArrow(_frequency, "grp long, block int, power binary")
-    prefixes = parts.groupBy("block").cogroup(powers.groupBy("block")).applyInArrow(_send_prefixes(k, percent, width, groups, few), "grp long, block int, tokens binary, docs binary")
+    codes = parts.groupBy("block").applyInArrow(lean(_send_codes(k, width, groups)), "grp long, block int, codes binary, n binary")
+    powers = codes.groupBy("grp").applyInArrow(lean(_frequency), "grp long, block int, power binary")
+    prefixes = parts.groupBy("block").cogroup(powers.groupBy("block")).applyInArrow(lean_two(_send_prefixes(k, percent, width, groups, few)), "grp long, block int, tokens binary, docs binary")
     met = saved(prefixes.groupBy("grp").applyInArrow(_meet(percent, few, small), PAIRS))
     _release(docs.sparkSession)
     pairs = met.where("kind = 0").select("a", "b").distinct()

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graphloom.llm import _text as tx
-from graphloom.llm._blocks import bits, blocked, covered, ids_of, in_order, nearest_smaller, pack, runs, slices, unbits, unpack
+from graphloom.llm._blocks import bits, blocked, covered, give_back, ids_of, in_order, lean, lean_two, nearest_smaller, pack, pieces, runs, slices, unbits, unpack
 
 WINDOW = 13
 GROUP_KEYS = 1_000_000
@@ -129,36 +129,48 @@ class SubTree:
 
 
 class _Windows:
-    """The windows (suffixes of k words or more) of one block, their anchors and their groups."""
+    """The windows (suffixes of k words or more) of one block, their anchors and their groups; made in pieces of whole documents, so that what is only needed on the way stays small."""
 
     def __init__(self, table: pa.Table, k: int, group: np.ndarray | None = None, share: np.ndarray | None = None, anchored: bool = True):
         self.k = k
-        self.buf, offsets = tx.flat(table.column("text"))
+        self.buf, self.offsets = tx.flat(table.column("text"))
         self.ids = ids_of(table)
-        self.starts, self.ends, self.first = tx.word_bounds(self.buf, offsets)
-        self.offsets = offsets
-        words = tx.word_hashes(self.buf, self.starts, self.ends)
-        self.n_words = len(words)
-        high = tx.windows(words, k)
-        self.at = np.flatnonzero(tx.inside(self.first, len(high), k)) if len(high) else np.zeros(0, np.int64)
-        self.hash = high[self.at]
-        if not anchored:
-            return
+        self.n_words, first, parts = 0, [np.zeros(1, np.int64)], []
+        for a, b in pieces(self.offsets):
+            buf, offsets = self.buf[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]
+            starts, ends, first_here = tx.word_bounds(buf, offsets)
+            words = tx.word_hashes(buf, starts, ends)
+            high = tx.windows(words, k)
+            at = np.flatnonzero(tx.inside(first_here, len(high), k)) if len(high) else np.zeros(0, np.int64)
+            part = {"at": at + self.n_words, "hash": high[at]}
+            if anchored:
+                part |= self._anchored(words, at, part["hash"], group, share)
+            parts.append(part)
+            first.append(first_here[1:] + self.n_words)
+            self.n_words += len(words)
+        self.first = np.concatenate(first)
+        for c in list(parts[0]):
+            setattr(self, c, np.concatenate([x.pop(c) for x in parts]))
+
+    def _anchored(self, words: np.ndarray, at: np.ndarray, hashes: np.ndarray, group: np.ndarray | None, share: np.ndarray | None) -> dict[str, np.ndarray]:
+        """The prefix of each window (at its anchor), or where that sends it, and its code there."""
+        n = max(0, len(words) - self.k + 1)
         grams = tx.windows(words, GRAM)
-        anchor, least = np.zeros(len(high), np.int64), grams[: len(high)].copy()
-        for j in range(1, k - GRAM + 1):  # the first of the least
-            here = grams[j : j + len(high)]
+        anchor, least = np.zeros(n, np.int64), grams[:n].copy()
+        for j in range(1, self.k - GRAM + 1):  # the first of the least
+            here = grams[j : j + n]
             less = here < least
             least[less], anchor[less] = here[less], j
-        anchor = (np.arange(len(high)) + anchor)[self.at]
+        anchor = (np.arange(n) + anchor)[at]
         prefix = np.zeros(len(words), np.int64)
-        for j in range(DEPTH):
+        for j in range(min(DEPTH, len(words))):
             prefix[: len(words) - j] = prefix[: len(words) - j] * CLASSES + (words[j:] >> tx.U64(60)).astype(np.int64)
-        self.prefix = prefix[anchor]
-        if group is not None:
-            shared = share[self.prefix]
-            self.where = group[self.prefix] + (((self.hash >> tx.U64(40)).astype(np.int64) * shared) >> 24)
-            self.code = np.where(shared > 1, self.hash, least[self.at]) & tx.U64((1 << CODE_BITS) - 1)
+        prefix = prefix[anchor]
+        if group is None:
+            return {"prefix": prefix}
+        shared = share[prefix]
+        where = group[prefix] + (((hashes >> tx.U64(40)).astype(np.int64) * shared) >> 24)
+        return {"where": where, "code": np.where(shared > 1, hashes, least[at]) & tx.U64((1 << CODE_BITS) - 1)}
 
     def coded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Group and code of the distinct ones in order, and which of them each window has."""
@@ -173,11 +185,13 @@ class _Windows:
         key[order] = np.cumsum(fresh) - 1
         return where[fresh], code[fresh], key[np.cumsum(head) - 1]
 
+    def words_of(self, i: int) -> list[bytes]:
+        return self.buf[self.offsets[i] : self.offsets[i + 1]].tobytes().split()
+
     def word_numbers(self) -> np.ndarray:
         """The number of each word of the block, the same for the same bytes only."""
-        raw, known = self.buf.tobytes(), {}
-        self.dictionary = known
-        text = (w for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True) for w in raw[a:b].split())
+        self.dictionary = known = {}
+        text = (w for i in range(len(self.offsets) - 1) for w in self.words_of(i))
         return np.fromiter((known.setdefault(w, len(known)) for w in text), np.int32, self.n_words)
 
     def same(self, numbers: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +214,7 @@ def _count(k: int):
             for piece in slices(b):
                 counts += np.bincount(_Windows(pa.Table.from_batches([piece]), k).prefix, minlength=len(counts))
         cells = np.flatnonzero(counts)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], ["prefix", "n"])
 
     return run
@@ -298,6 +313,7 @@ def _drop(k: int, with_text: bool):
         for x in marks.column("places"):
             marked[np.frombuffer(x.as_buffer(), np.uint32)] = True
         order, fresh = w.same(w.word_numbers(), np.arange(len(w.at)))
+        del w.dictionary, w.hash
         head = np.flatnonzero(fresh)
         ids = w.ids[tx.owner(w.first)[w.at]]
         gone = np.zeros(len(w.at), bool)
@@ -305,11 +321,12 @@ def _drop(k: int, with_text: bool):
             size = np.diff(np.append(head, len(order)))
             earlier = np.repeat(np.maximum.reduceat(marked[order], head), size)
             gone[order] = earlier | (np.repeat(np.minimum.reduceat(ids[order], head), size) < ids[order])
+            del earlier
         gone = covered(w.n_words, w.at[gone], k)
+        del marked, order, fresh, ids, w.at
         n_removed, digests, texts = [], [], []
-        raw = w.buf.tobytes()
         for i in range(docs.num_rows):
-            words = raw[w.offsets[i] : w.offsets[i + 1]].split()
+            words = w.words_of(i)
             mine = gone[w.first[i] : w.first[i + 1]]
             n_removed.append(int(mine.sum()))
             kept = b" ".join(compress(words, (~mine).tolist()) if n_removed[-1] else words)
@@ -337,14 +354,14 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, group_keys: int = GROUP_K
         counts[prefix] = n
     group, _ = prefix_groups(counts, group_keys)
     share = np.maximum(1, -(-counts // group_keys))
-    sent = parts.groupBy("block").applyInArrow(_send_codes(k, group, share), "grp long, block int, codes binary")
-    again = sent.groupBy("grp").applyInArrow(_shared_codes, "grp long, block int, again binary")
-    suffixes = parts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_send_suffixes(k, group, share), "grp long, block int, runs binary, dictionary binary, words binary")
-    marks = suffixes.groupBy("grp").applyInArrow(_subtree(k, n_null), "block int, places binary")
+    sent = parts.groupBy("block").applyInArrow(lean(_send_codes(k, group, share)), "grp long, block int, codes binary")
+    again = sent.groupBy("grp").applyInArrow(lean(_shared_codes), "grp long, block int, again binary")
+    suffixes = parts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(lean_two(_send_suffixes(k, group, share)), "grp long, block int, runs binary, dictionary binary, words binary")
+    marks = suffixes.groupBy("grp").applyInArrow(lean(_subtree(k, n_null)), "block int, places binary")
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
     if rest is not None:
         schema = schema.add("text", "string").add("kept", "string").add(parts.schema["rest"])
-    return parts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_drop(k, rest is not None), schema)
+    return parts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lean_two(_drop(k, rest is not None)), schema)
 
 
 def without_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:

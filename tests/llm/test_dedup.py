@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -333,3 +334,56 @@ def test_jaccard_of_large_groups(spark):
         assert sorted(tuple(x) for x in jaccard_join.join_classes(df, small=2).collect()) == brute_classes(rows)
     finally:
         jaccard_join.PART_DOCS = old
+
+
+def a_block(n_docs, n_words, seed=5):
+    r = np.random.default_rng(seed)
+    texts = [" ".join(f"w{x:05d}" for x in r.integers(0, 3000, n_words).tolist()) for _ in range(n_docs)]
+    return pa.table({"doc_id": pa.array(range(n_docs), pa.int64()), "text": texts, "block": pa.array([0] * n_docs, pa.int32())})
+
+
+def test_blocks_take_a_few_times_their_bytes():
+    table = a_block(600, 1000)
+    size = table.column("text").nbytes
+    group, share = np.zeros(16**4, np.int64), np.ones(16**4, np.int64)
+    none = pa.table({"grp": pa.array([], pa.int64()), "again": pa.array([], pa.binary())})
+    every = pa.table({"places": pa.array([], pa.binary())})
+    codes = jaccard_join._send_codes(5, 30, 1)(table)
+    work = {
+        "codes of op2": (10, lambda: substring_dedup._send_codes(13, group, share)(table)),
+        "suffixes of op2": (11, lambda: substring_dedup._send_suffixes(13, group, share)(table, none)),
+        "removal of op2": (11, lambda: substring_dedup._drop(13, False)(table, every)),
+        "sets of op5": (5, lambda: jaccard_join._Sets(table, 5)),
+        "frequencies of op5": (7, lambda: jaccard_join._frequency(codes)),
+    }
+    took = {}
+    for name, (_, f) in work.items():
+        tracemalloc.start()
+        f()
+        took[name] = tracemalloc.get_traced_memory()[1] / size
+        tracemalloc.stop()
+    assert all(took[name] < most for name, (most, _) in work.items()), took
+
+
+def test_windows_are_the_same_in_pieces(monkeypatch, rows):
+    rows = [*rows, (111, "", None, None)]
+    table = pa.table({"doc_id": [x[0] for x in rows], "text": pa.array([x[1] for x in rows], pa.string())})
+    group, share = np.arange(16**4) % 7, 1 + np.arange(16**4) % 2
+    made, sets = [], []
+    for most in (1, 500, 1 << 30):
+        for module in (substring_dedup, jaccard_join):
+            monkeypatch.setattr(module, "pieces", lambda offsets, most=most: _blocks.pieces(offsets, most))
+        made.append(substring_dedup._Windows(table, 13, group, share))
+        sets.append(jaccard_join._Sets(table, 5))
+    assert len(made[0].at) > 1000 and made[0].n_words == made[0].first[-1]
+    for w, s in zip(made[1:], sets[1:], strict=True):
+        assert all((getattr(w, c) == getattr(made[0], c)).all() for c in ("at", "hash", "where", "code", "first"))
+        assert s.ids == sets[0].ids and s.digest == sets[0].digest and s.equal == sets[0].equal
+
+
+def test_pieces_hold_every_document_once():
+    for sizes, most in (([], 5), ([0, 0], 5), ([3, 0, 9, 1, 1, 0], 4), ([1] * 20, 6), ([50], 4)):
+        got = _blocks.pieces(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), most)
+        assert got[0][0] == 0 and got[-1][1] == len(sizes)
+        assert all(a[1] == b[0] for a, b in zip(got, got[1:]))
+        assert all(sum(sizes[a:b]) < most + max(sizes[a:b], default=0) + 1 for a, b in got)
